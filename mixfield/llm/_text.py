@@ -110,9 +110,10 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> Words:
+def words_of(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, cut: np.ndarray | None = None) -> Words:
     """Maximal runs of ``member`` bytes inside each document, hashed by a polynomial
-    over a random byte table (mod 2^64) and a final mixer.  A-Z hash as a-z."""
+    over a random byte table (mod 2^64) and a final mixer.  A-Z hash as a-z.  ``cut``
+    (256 * 256 flags) also ends a run between two bytes."""
     n, n_docs = len(data), len(bounds) - 1
     if not n:
         none = np.zeros(0, dtype=np.int64)
@@ -128,6 +129,10 @@ def words_of(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> Words:
     np.logical_and(inside[:-1], ~inside[1:], out=last[:-1])
     tails = heads[1:] - 1
     last[tails] = inside[tails]
+    if cut is not None:
+        apart = cut[data[:-1].astype(np.int32) * 256 + data[1:]] & inside[:-1] & inside[1:]
+        first[1:] |= apart
+        last[:-1] |= apart
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _power(n + 1)
     total = np.empty(n + 1, dtype=U64)

@@ -38,8 +38,8 @@ HEAD = struct.Struct("<4sHHQQQ")
 BLOCK_IDS = 4096
 #: Ids of one file, about; a longer document makes a longer file.
 FILE_IDS = 1 << 20
-#: Distinct white-space-free pieces whose ids a worker remembers.
-CACHE = 400_000
+#: Distinct units whose ids a worker remembers (about 40 bytes each).
+CACHE = 1_500_000
 #: Ranges of the document order at most: bounds the one broadcast, of their totals.
 MAX_PARTS = 1 << 19
 
@@ -103,10 +103,30 @@ class PackedFile:
 _encoders: dict[str, Encoder] = {}
 
 
+def _cuts() -> np.ndarray:
+    """Places between two ASCII bytes where any pre-tokenizer that keeps letters, single
+    digits and marks apart splits: between their classes and between digits; never next
+    to an apostrophe (contractions) or a bar (special tokens)."""
+    kind = np.zeros(128, dtype=np.int8)
+    kind[33:127] = 3
+    kind[48:58] = 2
+    kind[65:91] = kind[97:123] = 1
+    kind[[39, 124]] = 0
+    x, y = kind[:, None], kind[None, :]
+    out = np.zeros((256, 256), dtype=bool)
+    out[:128, :128] = (x > 0) & (y > 0) & ((x != y) | (x == 2))
+    return out.ravel()
+
+
 class Encoder:
-    """Ids of whole texts.  The tokenizer drops white space and never joins pieces over
-    it, so the ids of a text are those of its white-space-free pieces, which repeat;
-    ``plain`` (found by a probe) turns that off for other tokenizers."""
+    """Ids of whole texts, unit by unit.  Units are white-space-free runs, cut further
+    where the tokenizer splits anyway; they repeat, so a worker remembers their ids.
+
+    That a tokenizer allows this is probed once: with cuts, without them, and if neither
+    gives the ids of whole texts, each text is encoded whole.  Units are told apart by a
+    64-bit hash (of folded letters, if the tokenizer folds them)."""
+
+    PROBES = ("a b\nc  d", " the\tcat's é x\r\ny 12,5 ", "中文 #1! (don't) x=3|y <|endoftext|>z", "Word.Next-one's $$$ a...b\u00e9! 3.14e10 a_b", "e\u0301 A\u030a+1 \u201cq\u201d, 'll 've 'S")
 
     def __init__(self, path: str):
         import os
@@ -115,9 +135,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        probe = ["a b\nc  d", " the\tcat's é x\r\ny 12 ", "中 文 #1!"]
-        self.plain = any(self._whole(p) != sum(map(self._whole, p.split()), []) for p in probe)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.folds = all(self._whole(p) == self._whole(p.lower()) for p in ("Ab CD ef", "HELLO World X"))
+        whole = [np.array(self._whole(p), np.uint32) for p in self.PROBES]
+        for self.cut in (_cuts(), None):
+            self._forget()
+            got = [self.batch(*T.buffers(pa.array([p])), 0)[0][:-1] for p in self.PROBES]
+            self.plain = not all(np.array_equal(a, b) for a, b in zip(whole, got, strict=True))
+            if not self.plain:
+                break
+
+    plain = False
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -125,9 +152,31 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted
+        self.at = self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _learn(self, words: T.Words, h: np.ndarray, where: np.ndarray) -> None:
+        """Remember the ids of units not known yet."""
+        own = [e.ids for i in range(0, len(where), 20_000) for e in self.tok.encode_batch_fast([words.bytes_at(k).decode() for k in where[i : i + 20_000]], add_special_tokens=False)]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter((x for o in own for x in o), np.uint32, int(size.sum()))])
+        h = np.concatenate([self.known, h])
+        by = np.argsort(h, kind="stable")
+        self.known, self.at, self.size = h[by], np.concatenate([self.at, at])[by], np.concatenate([self.size, size])[by]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Places of h among the known; -1 if it is not there."""
+        if not len(self.known):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, at, -1)
+
     def batch(self, data: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each document and the end) of a slice of documents."""
         d = len(bounds) - 1
@@ -135,36 +184,37 @@ class Encoder:
             raw = data.tobytes()
             own = [np.array([*e.ids, end_id], np.uint32) for e in self.tok.encode_batch([raw[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], add_special_tokens=False)]
             return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
-        words = T.words_of(data, bounds, T.NONSPACE)
-        # the word hash folds A-Z; the places of capitals tell such pieces apart
-        _, at, which = np.unique(T.mix64(words.hash ^ T.mix64(self._caps(data, words))), return_index=True, return_inverse=True)
-        keys = [words.bytes_at(i) for i in at]
-        new = [k for k in dict.fromkeys(keys) if k not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(dict.fromkeys(keys))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for k, e in zip(part, self.tok.encode_batch([k.decode() for k in part], add_special_tokens=False), strict=True):
-                self.cache[k] = np.array(e.ids, dtype=np.uint32)
-        pieces = [self.cache[k] for k in keys]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        head = np.cumsum(size) - size
-        n = size[which] if len(which) else np.zeros(0, np.int64)
+        words = T.words_of(data, bounds, T.NONSPACE, self.cut)
+        h = words.hash
+        if len(h):
+            caps = self._caps(data, words)
+            if self.folds:  # but special tokens, which hold a bar
+                bars = np.append(0, np.cumsum(data == 124))
+                caps[bars[words.end] == bars[words.start]] = 0
+            h = np.where(caps > 0, T.mix64(h ^ T.mix64(caps)), h)
+        once, first, which = np.unique(h, return_index=True, return_inverse=True)
+        new = self._find(once) < 0
+        if new.any():
+            if len(self.known) + int(new.sum()) > CACHE:
+                self._forget()
+                new[:] = True
+            self._learn(words, once[new], first[new])
+        place = self._find(once)[which] if len(h) else np.zeros(0, np.int64)
+        n, head = self.size[place], self.at[place]
         per_doc = np.bincount(words.doc, weights=n, minlength=d).astype(np.int64) + 1
-        first = np.concatenate([[0], np.cumsum(per_doc)])
-        ids = np.full(first[-1], end_id, dtype=np.uint32)
-        if n.sum():
-            src = np.arange(n.sum()) + np.repeat(head[which] - (np.cumsum(n) - n), n)
-            ids[np.arange(n.sum()) + np.repeat(words.doc, n)] = flat[src]
-        return ids, first
+        starts = np.concatenate([[0], np.cumsum(per_doc)])
+        ids = np.full(starts[-1], end_id, dtype=np.uint32)
+        total = int(n.sum())
+        if total:
+            run = np.arange(total)
+            ids[run + np.repeat(words.doc, n)] = self.flat[run + np.repeat(head - (np.cumsum(n) - n), n)]
+        return ids, starts
 
     @staticmethod
     def _caps(data: np.ndarray, words: T.Words) -> np.ndarray:
-        """Hash of the places of capitals within each word."""
+        """Hash of the places of capitals within each unit; 0 if it has none."""
         up, down = T._power(len(data) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(((data >= 65) & (data <= 90)).astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(((data >= 65) & (data <= 90)) * up[: len(data)], dtype=np.uint64)])
         return (total[words.end] - total[words.start]) * down[words.start]
 
 
@@ -208,7 +258,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
         for batch in batches:
             data, bounds = T.buffers(batch.column("text"))
-            for i, j in T.slices(bounds, 1 << 20):
+            for i, j in T.slices(bounds, 2 << 20):
                 got, first = enc.batch(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], end_id)
                 ids.append(got)
                 firsts.append(np.diff(first))
