@@ -7,10 +7,11 @@ link is confirmed on the full shingle sets.
 
 1. Documents of one shingle set become one node (the least doc_id), found by a combined
    minimum over the set's digest: copies never meet in pairs.
-2. In each band bucket all nodes are compared with the least one only (a star).
+2. In each band bucket all nodes are compared with one only, its hub: the node that shares
+   most buckets with others.
 3. Buckets whose nodes still lie in several components are compared across components,
-   in blocks of bounded size, so no link between different sets is lost and no group
-   makes all its pairs.
+   in blocks of bounded size, where links found on the way spare further comparisons; only
+   confirmed links leave the block.  So no link between different sets is lost.
 4. Components of the confirmed links.
 
 At similarity 0.85 a band of 5 agrees with probability 0.44, so all 24 bands miss a pair
@@ -136,30 +137,54 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(a, b) nodes of one bucket in different components that agree in two bands or more.
-    members: key, node, component, bands, n (of the bucket).  A bucket is cut into blocks;
-    each pair of blocks is compared in a task of its own."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("k", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+def _across(members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between nodes of one bucket that lie in different components.
+    members: key, n (the bucket's size), node, component, bands, text.  A bucket is cut into
+    blocks; each pair of blocks is a group of its own, of at most 2 * BLOCK rows.  Pairs are
+    confirmed where they stand, in the first of their common buckets only, and a pair that
+    links found before have joined is passed over."""
+    own = members.withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = spread.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    spread = spread.select("key", "node", "component", "bands", "text", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
-    def pairs(key, df):
+    def links(key, df):
         import pandas as pd
 
-        lo, hi = key[1], key[2]
-        x = df if lo == hi else df[df.mine == lo]
-        y = df if lo == hi else df[df.mine == hi]
+        where, lo, hi = key
+        df = df.sort_values("node")
+        bands, root = np.stack(df.bands.to_numpy()), {}
+        node, comp, mine, texts = df.node.to_numpy(), df.component.tolist(), df.mine.to_numpy(), df.text.tolist()
+        sets: dict[int, np.ndarray] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                data, bounds = T.buffers(pa.array([texts[i]], pa.large_string()))
+                sets[i] = _sets(data, bounds, shingle)[0]
+            return sets[i]
+
         out: list[tuple[int, int]] = []
-        if len(x) and len(y):
-            ya, yc, yn = np.stack(y.bands.to_numpy()), y.component.to_numpy(), y.node.to_numpy()
-            for bands, c, n in zip(x.bands, x.component, x.node, strict=True):
-                hit = np.flatnonzero((yc != c) & ((ya == np.asarray(bands)).sum(axis=1) >= 2))
-                out += [(min(n, m), max(n, m)) for m in yn[hit] if lo != hi or n < m]
+        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+        for i in left:
+            now = np.array([find(comp[j]) for j in right])
+            todo = right[now != find(comp[i])]
+            if lo == hi:
+                todo = todo[todo > i]
+            if len(todo):
+                same = bands[todo] == bands[i]
+                first = bands[i][same.argmax(axis=1)] == where
+                for j in todo[first & (same.sum(axis=1) >= 2)]:
+                    x, y = find(comp[i]), find(comp[j])
+                    if x != y and similar(of(i), of(j), percent):
+                        root[max(x, y)] = min(x, y)
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return spread.groupBy("key", "lo", "hi").applyInPandas(pairs, "a long, b long").distinct()
+    return spread.groupBy("key", "lo", "hi").applyInPandas(links, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -171,9 +196,13 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     reps = usable.join(nodes, "digest").where("doc_id = node").select("node", "bands")
     reps = stash(reps.groupBy("node").agg(F.first("bands").alias("bands")), "reps")
     keyed = reps.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most")
-    shared = stash(keyed.join(buckets.select("key", "least", "n"), "key"), "shared")
-    pairs = stash(shared.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
+    shared = stash(keyed.join(buckets, "key"), "shared")
+    # a bucket's hub is the node that meets most others over all its buckets
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    met = shared.join(degree, "node")
+    hubs = met.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg"))).alias("hub")).select("key", (-F.col("hub.neg")).alias("hub"))
+    pairs = stash(shared.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = stash(docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text IS NOT NULL").join(ids, "node", "left_semi"), "texts")
     links = stash(confirm(pairs, texts, shingle, percent), "links")
@@ -181,10 +210,9 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     # what is left: buckets over several components
     label = shared.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = label.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = label.join(open_, "key").join(reps, "node")
-    more = stash(_across(rest).join(pairs, ["a", "b"], "left_anti"), "across")
-    more_links = stash(confirm(more, texts, shingle, percent), "links")
-    drop(texts, shared, reps, feats, pairs, more)
+    rest = label.join(open_, "key").join(reps.join(texts.dropDuplicates(["node"]), "node"), "node")
+    more_links = stash(_across(rest, shingle, percent), "links")
+    drop(texts, shared, reps, feats, pairs)
     if more_links.isEmpty():
         final = found
     else:

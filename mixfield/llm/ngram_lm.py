@@ -40,6 +40,8 @@ ALPHA = 0.4
 HOT_SHARE = 1 << 20
 #: Words that one hash partition takes, about.
 PART_WORDS = 2_000_000
+#: Shares of a partition that are counted one after the other, to save memory.
+LOTS = 4
 _END = T.stream64(901, 2)[1]
 _PAIR = T.stream64(902, 2) | np.uint64(1)
 
@@ -102,8 +104,8 @@ def _chunk(words: T.Words, hot: np.ndarray, parts: int) -> list[tuple[int, bytes
     own_b = np.where(b < v, own[follow], 0)
     firsts = np.flatnonzero(np.append(True, np.diff(words.doc) != 0))
     full = np.append(vocab, _END)
-    is_hot = np.append(_find(hot, np.ones(len(hot), np.int64), vocab) > 0, False)
-    part = np.where(is_hot[a], _part(_pair(full[a], full[b]), parts), _part(full[a], parts))
+    code = np.append(_place(hot, vocab), -1)  # place among the hot words, or -1
+    part = np.where(code[a] >= 0, _part(_pair(full[a], full[b]), parts), _part(full[a], parts))
     first_part = _part(vocab[w[firsts]], parts)
     out = []
     by = np.argsort(part, kind="stable")
@@ -113,9 +115,30 @@ def _chunk(words: T.Words, hot: np.ndarray, parts: int) -> list[tuple[int, bytes
     for p in range(parts):
         s, f = by[edge[p] : edge[p + 1]], firsts[fby[fedge[p] : fedge[p + 1]]]
         if len(s) or len(f):
-            da, ia = np.unique(a[s], return_inverse=True)
+            da, na = np.unique(a[s], return_counts=True)
             db, ib = np.unique(b[s], return_inverse=True)
-            out.append((p, _dump(full[da], _narrow(ia), full[db], _narrow(ib), *map(_narrow, (d[s], times[s], own_a[s], own_b[s])), words.hash[f], _narrow(words.doc[f]), _narrow(own[f]))))
+            out.append((p, _dump(*_words(da, full, code), _narrow(na), *_words(db, full, code), _narrow(ib), *map(_narrow, (d[s], times[s], own_a[s], own_b[s])), words.hash[f], _narrow(words.doc[f]), _narrow(own[f]))))
+    return out
+
+
+def _place(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of h in a sorted table; -1 where it is not there."""
+    if not len(table):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, at, -1)
+
+
+def _words(ids: np.ndarray, full: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a row in short: whether each is hot, places of the hot ones, other hashes."""
+    c = code[ids]
+    return np.packbits(c >= 0), _narrow(c[c >= 0]), full[ids[c < 0]]
+
+
+def _hashes(flags: np.ndarray, places: np.ndarray, others: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    is_hot = np.unpackbits(flags, count=len(places) + len(others)).astype(bool)
+    out = np.empty(len(is_hot), dtype=np.uint64)
+    out[is_hot], out[~is_hot] = hot[places.astype(np.int64)], others
     return out
 
 
@@ -161,38 +184,53 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         for c, b, x in zip(names["chunk"].to_pylist(), names["body"].to_pylist(), names["doc_ids"].to_pylist(), strict=True):
             out.append((0, 0, c, b, x))
         if rows:
-            chunk = np.repeat([r[0] for r in rows], [len(r[2]) for r in rows])
-            a = np.concatenate([r[1][r[2]] for r in rows])
-            b = np.concatenate([r[3][r[4]] for r in rows])
-            d, times, own_a, own_b = (np.concatenate([r[k].astype(np.int64) for r in rows]) for k in (5, 6, 7, 8))
-            ends = b == _END
-            pair, inv = np.unique(_pair(a, b), return_inverse=True)
-            n_pair = np.bincount(inv, weights=times, minlength=len(pair)).astype(np.int64)[inv] - times
-            ctx = _find(hot, hot_n, a)
-            rare = ctx == 0
-            words, winv = np.unique(a[rare], return_inverse=True)
-            n_word = np.bincount(winv, weights=times[rare], minlength=len(words)).astype(np.int64)
-            ctx[rare] = n_word[winv]
-            out.append((3, int(key[0].as_py()), -1, _dump(words, n_word), []))
-            seen = (n_pair > 0) & ~ends
-            gain = np.zeros(len(a))
-            gain[seen] = times[seen] * (np.log(n_pair[seen]) - np.log(np.maximum(ctx[seen] - own_a[seen], 1)))
-            unseen = ~seen & ~ends
-            # words to look up: (chunk, document, word, times, own, whether ALPHA counts)
-            ask = [np.concatenate([x[unseen], *(y.astype(x.dtype) for y in ys)]) for x, ys in ((chunk, [np.repeat([r[0] for r in rows], [len(r[9]) for r in rows])]), (d, [r[10] for r in rows]), (b, [r[9] for r in rows]), (times, [np.ones(len(r[9])) for r in rows]), (own_b, [r[11] for r in rows]), (unseen.astype(np.int8), [np.zeros(len(r[9])) for r in rows]))]
-            known = _find(hot, hot_n, ask[2])
+            index, chunks = [r[0] for r in rows], np.unique([r[0] for r in rows])
+            a = np.concatenate([np.repeat(_hashes(*r[1:4], hot), r[4]) for r in rows])
+            b = np.concatenate([_hashes(*r[5:8], hot)[r[8]] for r in rows])
+            row = np.repeat(np.searchsorted(chunks, index), [len(r[8]) for r in rows]).astype(np.int32)
+            d, times, own_a, own_b = (np.concatenate([r[k] for r in rows]).astype(np.int32) for k in (9, 10, 11, 12))
+            first = [np.repeat(np.searchsorted(chunks, index), [len(r[13]) for r in rows]).astype(np.int32), *(np.concatenate([r[k] for r in rows]) for k in (14, 13, 15))]
+            del rows
+            # firsts ask like unseen pairs, without ALPHA
+            asks = [[first[0], first[1].astype(np.int32), first[2], np.ones(len(first[0]), np.int32), first[3].astype(np.int32), np.zeros(len(first[0]), np.int8)]]
+            sums, known_words, known_n = [], [], []
+            pair = _pair(a, b)
+            lot = ((np.where(_place(hot, a) >= 0, pair, a) >> np.uint64(20)) % np.uint64(LOTS)).astype(np.int8)
+            for k in range(LOTS):  # a lot has all uses of its pairs, and of its words that are not hot
+                at = np.flatnonzero(lot == k)
+                if not len(at):
+                    continue
+                _, inv = np.unique(pair[at], return_inverse=True)
+                t = times[at].astype(np.int64)
+                others = np.bincount(inv, weights=t).astype(np.int64)[inv] - t
+                ctx = _find(hot, hot_n, a[at])
+                rare = ctx == 0
+                words, winv = np.unique(a[at][rare], return_inverse=True)
+                n_word = np.bincount(winv, weights=t[rare], minlength=len(words)).astype(np.int64)
+                ctx[rare] = n_word[winv]
+                known_words.append(words)
+                known_n.append(n_word)
+                ends = b[at] == _END
+                seen = (others > 0) & ~ends
+                gain = t[seen] * (np.log(others[seen]) - np.log(np.maximum(ctx[seen] - own_a[at][seen], 1)))
+                sums.append((row[at][seen], d[at][seen], gain, np.zeros(len(gain), np.int32)))
+                ask = at[~seen & ~ends]
+                asks.append([row[ask], d[ask], b[ask], times[ask], own_b[ask], np.ones(len(ask), np.int8)])
+            out.append((3, int(key[0].as_py()), -1, _dump(np.concatenate(known_words) if known_words else np.zeros(0, np.uint64), np.concatenate(known_n) if known_n else np.zeros(0, np.int64)), []))
+            del a, b, pair, lot
+            r_, d_, w_, t_, o_, l_ = (np.concatenate(x) for x in zip(*asks, strict=True))
+            known = _find(hot, hot_n, w_)
             at = known > 0
-            add = ask[3] * (np.log(np.maximum(known - ask[4], 1)) + ask[5] * math.log(alpha))
-            sums, total_d = np.concatenate([gain[~ends], add[at]]), np.concatenate([d[~ends], ask[1][at]])
-            lows = np.concatenate([np.zeros(int((~ends).sum())), ask[3][at]])  # words that divide by N
-            out += _per_chunk(1, 0, np.concatenate([chunk[~ends], ask[0][at]]), total_d, sums, lows)
-            rest = [x[~at] for x in ask]
-            q = _part(rest[2], parts)
-            order = np.lexsort((rest[0], q))
-            rest, q = [x[order] for x in rest], q[order]
-            heads = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(rest[0]) != 0))) if len(q) else []
+            sums.append((r_[at], d_[at], t_[at] * (np.log(np.maximum(known[at] - o_[at], 1)) + l_[at] * math.log(alpha)), t_[at]))
+            row, d, gain, low = (np.concatenate(x) for x in zip(*sums, strict=True))
+            out += _per_chunk(1, 0, chunks[row], d, gain, low)
+            r_, d_, w_, t_, o_, l_ = (x[~at] for x in (r_, d_, w_, t_, o_, l_))
+            q = _part(w_, parts)
+            order = np.lexsort((r_, q))
+            r_, d_, w_, t_, o_, l_, q = (x[order] for x in (r_, d_, w_, t_, o_, l_, q))
+            heads = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(r_) != 0))) if len(q) else []
             for i, j in zip(heads, [*heads[1:], len(q)], strict=True) if len(q) else ():
-                out.append((2, int(q[i]), int(rest[0][i]), _dump(_narrow(rest[1][i:j]), rest[2][i:j], *map(_narrow, (rest[3][i:j], rest[4][i:j], rest[5][i:j]))), []))
+                out.append((2, int(q[i]), int(chunks[r_[i]]), _dump(_narrow(d_[i:j]), w_[i:j], *map(_narrow, (t_[i:j], o_[i:j], l_[i:j]))), []))
         return _table(out)
 
     def _table(out: list[tuple]) -> pa.Table:
