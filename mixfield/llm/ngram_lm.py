@@ -39,9 +39,9 @@ ALPHA = 0.4
 #: Hot words are those with at least 1 / HOT_SHARE of all words; so there are at most that many.
 HOT_SHARE = 1 << 20
 #: Words that one hash partition takes, about.
-PART_WORDS = 2_000_000
+PART_WORDS = 1_500_000
 #: Shares of a partition that are counted one after the other, to save memory.
-LOTS = 4
+LOTS = 6
 _END = T.stream64(901, 2)[1]
 _PAIR = T.stream64(902, 2) | np.uint64(1)
 
@@ -52,7 +52,32 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _dump(*columns: np.ndarray) -> bytes:
-    return pickle.dumps(columns, protocol=5)
+    """Columns packed and compressed; wide columns of mostly small numbers are split."""
+    raw = pickle.dumps([_split(c) for c in columns], protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _load(body: bytes) -> list[np.ndarray]:
+    size = int.from_bytes(body[:8], "little")
+    return [_joined(c) for c in pickle.loads(pa.Codec("zstd").decompress(body[8:], size, asbytes=True))]
+
+
+def _split(c: np.ndarray) -> np.ndarray | tuple:
+    """A uint16 or uint32 column as bytes, and the few values that do not fit them."""
+    if c.dtype in (np.uint16, np.uint32) and len(c) > 64:
+        big = np.flatnonzero(c > 254)
+        if len(big) * 8 < len(c):
+            low = np.minimum(c, 255).astype(np.uint8)
+            return low, big.astype(np.uint32), c[big]
+    return c
+
+
+def _joined(c: np.ndarray | tuple) -> np.ndarray:
+    if isinstance(c, tuple):
+        out = c[0].astype(c[2].dtype)
+        out[c[1]] = c[2]
+        return out
+    return c
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,7 +204,7 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         """kind 0: documents of a chunk; 1: sums of a chunk; 2: words asked for; 3: word counts."""
         hot, hot_n = table.value
         out = []
-        rows = [(c, *pickle.loads(b)) for c, b, x in zip(t["chunk"].to_pylist(), t["body"].to_pylist(), pa.compute.list_value_length(t["doc_ids"]).to_pylist(), strict=True) if not x]
+        rows = [(c, *_load(b)) for c, b, x in zip(t["chunk"].to_pylist(), t["body"].to_pylist(), pa.compute.list_value_length(t["doc_ids"]).to_pylist(), strict=True) if not x]
         names = t.filter(pa.compute.greater(pa.compute.list_value_length(t["doc_ids"]), 0))
         for c, b, x in zip(names["chunk"].to_pylist(), names["body"].to_pylist(), names["doc_ids"].to_pylist(), strict=True):
             out.append((0, 0, c, b, x))
@@ -244,11 +269,11 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     def answer(key, t):
         kinds, bodies, chunks = t["kind"].to_pylist(), t["body"].to_pylist(), t["chunk"].to_pylist()
-        known = [pickle.loads(b) for k, b in zip(kinds, bodies, strict=True) if k == 3]
+        known = [_load(b) for k, b in zip(kinds, bodies, strict=True) if k == 3]
         words, n = (np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         by = np.argsort(words)
         words, n = words[by], n[by]
-        asked = [(c, *pickle.loads(b)) for k, c, b in zip(kinds, chunks, bodies, strict=True) if k == 2]
+        asked = [(c, *_load(b)) for k, c, b in zip(kinds, chunks, bodies, strict=True) if k == 2]
         out = []
         if asked:
             chunk = np.repeat([r[0] for r in asked], [len(r[1]) for r in asked])
@@ -265,9 +290,9 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
         names, n, parts_ = None, None, []
         for k, b, x in zip(t["kind"].to_pylist(), t["body"].to_pylist(), range(len(t)), strict=True):
             if k == 0:
-                names, n = t["doc_ids"].combine_chunks()[x].values, pickle.loads(b)[0].astype(np.int64)
+                names, n = t["doc_ids"].combine_chunks()[x].values, _load(b)[0].astype(np.int64)
             else:
-                parts_.append(pickle.loads(b))
+                parts_.append(_load(b))
         sums, lows = np.zeros(len(n)), np.zeros(len(n))
         for d, s, low in parts_:
             sums[d] += s

@@ -139,13 +139,12 @@ class Encoder:
         whole = [np.array(self._whole(p), np.uint32) for p in self.PROBES]
         for self.cut in (_cuts(), None):
             self._forget()
+            self.plain = False
             got = [self.batch(*T.buffers(pa.array([p])), 0)[0][:-1] for p in self.PROBES]
             self.plain = not all(np.array_equal(a, b) for a, b in zip(whole, got, strict=True))
             if not self.plain:
                 break
 
-    plain = False
-
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in _encoders:
