@@ -204,7 +204,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     hubs = met.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg"))).alias("hub")).select("key", (-F.col("hub.neg")).alias("hub"))
     pairs = stash(shared.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = stash(docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text IS NOT NULL").join(ids, "node", "left_semi"), "texts")
+    texts = stash(docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("text IS NOT NULL").join(ids.hint("merge"), "node", "left_semi"), "texts")  # one strategy at every size
     links = stash(confirm(pairs, texts, shingle, percent), "links")
     found = stash(components(links), "found")
     # what is left: buckets over several components
