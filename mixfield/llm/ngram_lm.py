@@ -15,7 +15,7 @@ a partition.  (3) In a partition the pair counts and the counts of its words are
 seen pairs are scored there, unseen ones ask for count(w): hot words at once, the others
 in the partition of w.  (4) Both kinds of partial sums are added per chunk of documents.
 Every shuffled row is a packed array of bounded size, and a pair has one entry per
-document, so groups stay even.
+document, so groups stay even.  Questions go out as one row per asking and asked partition.
 
 Cases: null and empty texts have no words: n_words 0, score and mean null.  Rows are
 scored one by one (repeated and null doc_ids too).  Extra columns are ignored.
@@ -253,9 +253,11 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             q = _part(w_, parts)
             order = np.lexsort((r_, q))
             r_, d_, w_, t_, o_, l_, q = (x[order] for x in (r_, d_, w_, t_, o_, l_, q))
-            heads = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(r_) != 0))) if len(q) else []
+            heads = np.flatnonzero(np.append(True, np.diff(q) != 0)) if len(q) else []
             for i, j in zip(heads, [*heads[1:], len(q)], strict=True) if len(q) else ():
-                out.append((2, int(q[i]), int(chunks[r_[i]]), _dump(_narrow(d_[i:j]), w_[i:j], *map(_narrow, (t_[i:j], o_[i:j], l_[i:j]))), []))
+                # all that this partition asks of another one is one row: chunks and their numbers of words lead
+                own, many = np.unique(r_[i:j], return_counts=True)
+                out.append((2, int(q[i]), -1, _dump(chunks[own], _narrow(many), _narrow(d_[i:j]), w_[i:j], *map(_narrow, (t_[i:j], o_[i:j], l_[i:j]))), []))
         return _table(out)
 
     def _table(out: list[tuple]) -> pa.Table:
@@ -268,16 +270,16 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     scored = stash(exploded.groupBy("part").applyInArrow(pairs, schema), "pairs")
 
     def answer(key, t):
-        kinds, bodies, chunks = t["kind"].to_pylist(), t["body"].to_pylist(), t["chunk"].to_pylist()
+        kinds, bodies = t["kind"].to_pylist(), t["body"].to_pylist()
         known = [_load(b) for k, b in zip(kinds, bodies, strict=True) if k == 3]
         words, n = (np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         by = np.argsort(words)
         words, n = words[by], n[by]
-        asked = [(c, *_load(b)) for k, c, b in zip(kinds, chunks, bodies, strict=True) if k == 2]
+        asked = [_load(b) for k, b in zip(kinds, bodies, strict=True) if k == 2]
         out = []
         if asked:
-            chunk = np.repeat([r[0] for r in asked], [len(r[1]) for r in asked])
-            d, h, times, own, low = (np.concatenate([r[k] for r in asked]) for k in (1, 2, 3, 4, 5))
+            chunk = np.concatenate([np.repeat(r[0], r[1]) for r in asked])
+            d, h, times, own, low = (np.concatenate([r[k] for r in asked]) for k in (2, 3, 4, 5, 6))
             times = times.astype(np.int64)
             got = _find(words, n, h) - own.astype(np.int64)
             sums = times * (np.log(np.maximum(got, 1)) + low * math.log(alpha))
