@@ -325,6 +325,15 @@ def test_passages(spark, odd, none):
     assert {r.doc_id for r in passages.cut(df).collect()} <= set(range(60))
 
 
+def test_windows_ignore_neighbours():
+    s, doc = passages.T.stream64(5, 400), np.repeat([0, 1, 2], [120, 46, 234])
+    whole = passages.windows(s, doc)
+    for d, base in ((0, 0), (1, 120), (2, 166)):
+        own = passages.windows(s[doc == d], doc[doc == d])
+        mine = doc[whole[1]] == d
+        assert sorted(zip(*(x.tolist() for x in own))) == sorted(zip(*((x[mine] - (base if k in (1, 2, 3) else 0)).tolist() for k, x in enumerate(whole))))
+
+
 def test_sliding_minimum():
     v = np.random.default_rng(1).integers(0, 1000, 300).astype(np.uint64)
     for w in (1, 2, 7, 46):
