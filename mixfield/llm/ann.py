@@ -4,10 +4,16 @@ Inner products are turned into distances by one more coordinate, sqrt(M^2 - |x|^
 largest norm M (0 for a query), which keeps their order.  Centroids are fitted on a
 bounded sample; every vector goes to the posting list of its nearest centroid, and, if it
 lies near the boundary (within ``REPLICA_RATIO`` of the least distance), to up to
-``REPLICAS`` lists.  A query finds centroids by a best-first walk over an in-memory
-neighbour graph of the centroids, keeps those within ``SEARCH_RATIO`` of the nearest, and
-scans their lists.  Long lists are cut into blocks of ``BLOCK`` rows and many queries of
-one list into blocks too, so a list that holds a third of all vectors is spread.
+``REPLICAS`` lists.
+
+How many lists a query probes is measured, not set: the exact neighbours of ``TRIALS``
+queries are found by a pass over all vectors, and the least number of nearest lists that
+holds ``RECALL`` of them is probed (``LEAST_SEARCH`` at least).  On vectors without clusters
+that is a large share of all lists.  Lists whose centroids are close form a group; a query
+is sent once to each group with a probed list and scans it whole, so its rows grow with
+the groups and not with the lists.  Large groups are cut into blocks of ``BLOCK`` rows and
+many queries of one group into blocks too, so a list that holds a third of all vectors is
+spread.
 
 Scores are the inner products of the original vectors in double precision, summed the same
 way for every pair, so that equal vectors tie exactly and the smaller vec_id wins.
@@ -20,7 +26,6 @@ of them.  Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,55 +39,56 @@ from ._store import stash
 SAMPLE, MAX_LISTS = 40_000, 16_384
 LIST_ROWS = 256
 REPLICAS, REPLICA_RATIO = 4, 1.10
-MAX_SEARCH, SEARCH_RATIO = 64, 1.35
-BLOCK, QUERY_BLOCK = 4096, 2048
+#: Lists that a query probes at least; the share of true neighbours that the probed lists of
+#: the trial queries hold; and the trial queries.
+LEAST_SEARCH, RECALL, TRIALS = 64, 0.95, 256
+#: Groups that lists fall into, about, and lists of a group at least and at most.
+GROUPS, GROUP_LISTS = 16, (4, 64)
+BLOCK, QUERY_BLOCK = 16_384, 2048
+#: Values of a matrix product that a task holds at once.
+CELLS = 1 << 22
 
 
 @dataclass
 class Index:
     centroids: np.ndarray
-    graph: np.ndarray
-    starts: np.ndarray
+    group: np.ndarray
     norm2: float
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.norm2 - (x * x).sum(axis=1), 0))[:, None]], axis=1)
 
-    def _distances(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return ((self.centroids[c] - x) ** 2).sum(axis=1)
-
-    def walk(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``want`` nearest centroids that a best-first walk over the graph finds."""
-        seen = np.zeros(len(self.centroids), dtype=bool)
-        seen[self.starts] = True
-        first = self._distances(x, self.starts)
-        open_ = list(zip(first.tolist(), self.starts.tolist(), strict=True))
-        heapq.heapify(open_)
-        best = [(-d, c) for d, c in open_]
-        heapq.heapify(best)
-        width = want + 16
-        while len(best) > width:
-            heapq.heappop(best)
-        while open_:
-            d, c = heapq.heappop(open_)
-            if len(best) >= width and d > -best[0][0]:
-                break
-            near = self.graph[c][~seen[self.graph[c]]]
-            if len(near):
-                seen[near] = True
-                for e, m in zip(self._distances(x, near).tolist(), near.tolist(), strict=True):
-                    if len(best) < width or e < -best[0][0]:
-                        heapq.heappush(open_, (e, m))
-                        heapq.heappush(best, (-e, m))
-                        if len(best) > width:
-                            heapq.heappop(best)
-        found = sorted((-d, c) for d, c in best)[:want]
-        return np.array([c for _, c in found]), np.array([d for d, _ in found])
+    def near(self, x: np.ndarray, want: int):
+        """The ``want`` nearest centroids of each row, nearest first, and their squared
+        distances, in slices of rows."""
+        c2 = (self.centroids * self.centroids).sum(axis=1)
+        want, step = min(want, len(c2)), max(1, CELLS // len(c2))
+        for i in range(0, len(x), step):
+            y = x[i : i + step]
+            d = c2[None] - 2 * y @ self.centroids.T
+            at = np.argpartition(d, want - 1, axis=1)[:, :want]
+            own = np.take_along_axis(d, at, axis=1)
+            by = np.argsort(own, axis=1, kind="stable")
+            yield np.take_along_axis(at, by, axis=1), np.maximum(np.take_along_axis(own, by, axis=1) + (y * y).sum(axis=1)[:, None], 0)
+
+
+def grouped(c: np.ndarray, size: int) -> np.ndarray:
+    """A group number for each centroid: halves along the widest direction, to ``size`` at most."""
+    out, todo, n = np.zeros(len(c), dtype=np.int32), [np.arange(len(c))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out[own], n = n, n + 1
+            continue
+        y = c[own] - c[own].mean(axis=0)
+        along = np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")
+        todo += [own[along[: len(own) // 2]], own[along[len(own) // 2 :]]]
+    return out
 
 
 def fit(sample: np.ndarray, n_lists: int, norm2: float, rounds: int = 8) -> Index:
-    """Centroids by balanced Lloyd rounds, and their neighbour graph."""
-    index = Index(np.zeros((0, 0)), np.zeros((0, 0), int), np.zeros(0, int), norm2)
+    """Centroids by balanced Lloyd rounds, and their groups."""
+    index = Index(np.zeros((0, 0)), np.zeros(0, np.int32), norm2)
     x = index.lift(sample)
     x = np.unique(x, axis=0)  # one vector of many copies is one point
     k = min(n_lists, len(x))
@@ -99,13 +105,7 @@ def fit(sample: np.ndarray, n_lists: int, norm2: float, rounds: int = 8) -> Inde
         c[n > 0] = sums[n > 0] / n[n > 0, None]
         if (n == 0).any():
             c[n == 0] = x[rng.choice(len(x), int((n == 0).sum()))]
-    near = min(24, k)
-    graph = np.empty((k, near), dtype=np.int64)
-    for i in range(0, k, 1024):
-        d = (c * c).sum(axis=1)[None] - 2 * c[i : i + 1024] @ c.T
-        graph[i : i + 1024] = np.argpartition(d, near - 1, axis=1)[:, :near]
-    starts = rng.choice(k, min(k, 16), replace=False)
-    return Index(c, graph, starts, norm2)
+    return Index(c, grouped(c, min(GROUP_LISTS[1], max(GROUP_LISTS[0], -(-k // GROUPS)))), norm2)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -118,6 +118,60 @@ def _stack(column) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
 
 
+def _best(s: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores (rows x vectors by id), where its k best stand, and
+    all that may tie with the last."""
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    return [np.flatnonzero((row >= x - 1e-9) & (row > -np.inf)) for row, x in zip(s, least, strict=True)]
+
+
+def _scan(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, vs: np.ndarray, k: int):
+    """query_id, vec_id, score of the k best ids of each query, but itself, in slices."""
+    by = np.argsort(ids, kind="stable")
+    vs, ids = vs[by], ids[by]
+    step = max(1, CELLS // max(len(ids), 1))
+    for i in range(0, len(qids), step):
+        s = qs[i : i + step] @ vs.T
+        s[qids[i : i + step, None] == ids[None]] = -np.inf
+        rows = []
+        for qid, qv, at in zip(qids[i : i + step], qs[i : i + step], _best(s, k), strict=True):
+            exact = (vs[at] * qv).sum(axis=1)
+            top = np.lexsort((ids[at], -exact))[: k + REPLICAS]
+            rows.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][top], "score": exact[top]}))
+        yield pd.concat(rows)
+
+
+def _wanted(posted: DataFrame, q: DataFrame, index: Index, k: int) -> int:
+    """Nearest lists that a query has to probe: see the module's text."""
+    n_lists = len(index.centroids)
+    if n_lists <= LEAST_SEARCH:
+        return n_lists
+    trial = q.distinct().orderBy(F.xxhash64("vec_id", F.lit("trial")), "vec_id").limit(TRIALS).toPandas().drop_duplicates("vec_id")
+    if not len(trial):
+        return n_lists
+    spark = posted.sparkSession
+    held = spark.sparkContext.broadcast((trial.vec_id.to_numpy(), _stack(trial.v)))
+
+    def exact(frames):
+        for df in frames:
+            if len(df):
+                ids = df.vec_id.to_numpy()
+                lists = df[["vec_id", "list"]]
+                for rows in _scan(*held.value, ids, _stack(df.v), k):
+                    yield rows.merge(lists, on="vec_id")
+
+    near = posted.mapInPandas(exact, "query_id long, vec_id long, score double, list int")
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.collect_set("list").alias("lists"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    true = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "lists").collect()
+    v = _stack(trial.v)
+    ranks = {}
+    for qid, c in zip(trial.vec_id, (c for near, _ in index.near(np.concatenate([v, np.zeros((len(v), 1))], axis=1), n_lists) for c in near), strict=True):
+        ranks[qid] = np.argsort(c)
+    needed = np.sort([min(ranks[r.query_id][r.lists]) + 1 for r in true])
+    return max(LEAST_SEARCH, int(needed[int(np.ceil(RECALL * len(needed))) - 1])) if len(needed) else n_lists
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each row of ``queries``
     (vec_id, embedding), which is not its own neighbour."""
@@ -141,64 +195,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | N
         index = held.value
         for df in frames:
             if len(df):
-                lifted = index.lift(_stack(df.v))
                 lists = []
-                for row in lifted:
-                    c, d = index.walk(row, REPLICAS * 2)
-                    keep = [0]
-                    for i in range(1, len(c)):
-                        if len(keep) == REPLICAS or d[i] > REPLICA_RATIO**2 * d[0]:
-                            break
-                        apart = ((index.centroids[c[keep]] - index.centroids[c[i]]) ** 2).sum(axis=1)
-                        if (apart > d[i]).all():
-                            keep.append(i)
-                    lists.append(c[keep].tolist())
+                for near, far in index.near(index.lift(_stack(df.v)), REPLICAS * 2):
+                    for c, d in zip(near, far, strict=True):
+                        keep = [0]
+                        for i in range(1, len(c)):
+                            if len(keep) == REPLICAS or d[i] > REPLICA_RATIO**2 * d[0]:
+                                break
+                            apart = ((index.centroids[c[keep]] - index.centroids[c[i]]) ** 2).sum(axis=1)
+                            if (apart > d[i]).all():
+                                keep.append(i)
+                        lists.append(c[keep].tolist())
                 yield df.assign(list=lists).explode("list").astype({"list": "int32"})
 
+    posted = stash(x.mapInPandas(post, "vec_id long, v array<double>, list int"), "posts")
+    want = _wanted(posted, q, index, k)
+
     def probe(frames):
         index = held.value
         for df in frames:
             if len(df):
                 v = _stack(df.v)
-                lists = []
-                for row in np.concatenate([v, np.zeros((len(v), 1))], axis=1):
-                    c, d = index.walk(row, MAX_SEARCH)
-                    lists.append(c[d <= SEARCH_RATIO**2 * max(d[0], 1e-12)].tolist())
-                yield df.assign(list=lists).explode("list").astype({"list": "int32"})
+                places = [np.unique(index.group[c]).tolist() for near, _ in index.near(np.concatenate([v, np.zeros((len(v), 1))], axis=1), want) for c in near]
+                yield df.assign(place=places).explode("place").astype({"place": "int32"})
 
-    schema = "vec_id long, v array<double>, list int"
-    posted = stash(x.mapInPandas(post, schema), "posts")
-    probed = stash(q.mapInPandas(probe, schema), "probes")
+    probed = stash(q.mapInPandas(probe, "vec_id long, v array<double>, place int"), "probes")
+    places = F.broadcast(spark.createDataFrame(list(enumerate(index.group.tolist())), "list int, place int"))
+    posted = posted.join(places, "list").drop("list")
 
     def blocks(df: DataFrame, size: int) -> dict[int, int]:
-        """Blocks of each list: MAX_LISTS numbers at most."""
-        return {r[0]: r[1] for r in df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int")).collect()}
+        """Blocks of each group: MAX_LISTS numbers at most."""
+        return {r[0]: r[1] for r in df.groupBy("place").agg(F.ceil(F.count("*") / size).cast("int")).collect()}
 
     nv, nq = blocks(posted, BLOCK), blocks(probed, QUERY_BLOCK)
     rows = [(c, nv[c], nq[c]) for c in nv if c in nq]
     if not rows:
         return spark.createDataFrame([], out)
-    sizes, again = (F.broadcast(spark.createDataFrame(rows, "list int, nv int, nq int")) for _ in range(2))
-    mine = posted.join(sizes, "list").withColumn("bv", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    asks = probed.join(again, "list").withColumn("bq", F.pmod(F.xxhash64("vec_id"), "nq").cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
+    sizes, again = (F.broadcast(spark.createDataFrame(rows, "place int, nv int, nq int")) for _ in range(2))
+    mine = posted.join(sizes, "place").withColumn("bv", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    asks = probed.join(again, "place").withColumn("bq", F.pmod(F.xxhash64("vec_id"), "nq").cast("int")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)))
 
     def scan(left, right):
-        rows = []
-        if len(left) and len(right):
-            vs, ids = _stack(right.v), right.vec_id.to_numpy()
-            by = np.argsort(ids, kind="stable")
-            vs, ids = vs[by], ids[by]
-            for qid, qv in zip(left.vec_id, _stack(left.v), strict=True):
-                s = vs @ qv
-                s[ids == qid] = -np.inf
-                least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
-                at = np.flatnonzero((s >= least - 1e-9) & (s > -np.inf))
-                exact = (vs[at] * qv).sum(axis=1)
-                top = np.lexsort((ids[at], -exact))[: k + REPLICAS]
-                rows.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][top], "score": exact[top]}))
+        rows = list(_scan(left.vec_id.to_numpy(), _stack(left.v), right.vec_id.to_numpy(), _stack(right.v), k)) if len(left) and len(right) else []
         return pd.concat(rows) if rows else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
-    keys = ["list", "bq", "bv"]
+    keys = ["place", "bq", "bv"]
     near = asks.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

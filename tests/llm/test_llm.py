@@ -186,6 +186,20 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_in_many_lists(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(6000, 64)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.search(df, df.where("vec_id % 60 = 0"), 20, n_lists=600).toPandas()
+    hits = 0
+    for q in range(0, 6000, 60):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & set(got[got.query_id == q].vec_id))
+    assert len(got) == 2000 and hits / 2000 >= 0.9
+
+
 def test_quality(spark, odd, none):
     big = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
