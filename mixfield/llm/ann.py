@@ -118,11 +118,14 @@ def _stack(column) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.asarray(v, dtype=np.float64) for v in column]))
 
 
-def _best(s: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row of scores (rows x vectors by id), where its k best stand, and
-    all that may tie with the last."""
-    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-    return [np.flatnonzero((row >= x - 1e-9) & (row > -np.inf)) for row, x in zip(s, least, strict=True)]
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of scores (rows x vectors by id), where its k best ids stand: an id counts
+    by its best vector; all its vectors, and all that may tie with the last, are given."""
+    heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    each = np.diff(np.append(heads, len(ids)))
+    top = s if len(heads) == len(ids) else np.maximum.reduceat(s, heads, axis=1)
+    least = np.partition(top, -k, axis=1)[:, -k] if top.shape[1] > k else np.full(len(s), -np.inf)
+    return [np.flatnonzero(np.repeat((row >= x - 1e-9) & (row > -np.inf), each)) for row, x in zip(top, least, strict=True)]
 
 
 def _scan(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, vs: np.ndarray, k: int):
@@ -134,9 +137,10 @@ def _scan(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, vs: np.ndarray, k:
         s = qs[i : i + step] @ vs.T
         s[qids[i : i + step, None] == ids[None]] = -np.inf
         rows = []
-        for qid, qv, at in zip(qids[i : i + step], qs[i : i + step], _best(s, k), strict=True):
+        for qid, qv, at in zip(qids[i : i + step], qs[i : i + step], _best(s, ids, k), strict=True):
             exact = (vs[at] * qv).sum(axis=1)
-            top = np.lexsort((ids[at], -exact))[: k + REPLICAS]
+            top = np.lexsort((ids[at], -exact))
+            top = top[np.sort(np.unique(ids[at][top], return_index=True)[1])][:k]  # the best row of an id
             rows.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][top], "score": exact[top]}))
         yield pd.concat(rows)
 
@@ -208,7 +212,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | N
                         lists.append(c[keep].tolist())
                 yield df.assign(list=lists).explode("list").astype({"list": "int32"})
 
-    posted = stash(x.mapInPandas(post, "vec_id long, v array<double>, list int"), "posts")
+    # a row that is repeated is posted once
+    posted = stash(x.distinct().mapInPandas(post, "vec_id long, v array<double>, list int"), "posts")
     want = _wanted(posted, q, index, k)
 
     def probe(frames):
@@ -219,7 +224,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | N
                 places = [np.unique(index.group[c]).tolist() for near, _ in index.near(np.concatenate([v, np.zeros((len(v), 1))], axis=1), want) for c in near]
                 yield df.assign(place=places).explode("place").astype({"place": "int32"})
 
-    probed = stash(q.mapInPandas(probe, "vec_id long, v array<double>, place int"), "probes")
+    probed = stash(q.distinct().mapInPandas(probe, "vec_id long, v array<double>, place int"), "probes")
     places = F.broadcast(spark.createDataFrame(list(enumerate(index.group.tolist())), "list int, place int"))
     posted = posted.join(places, "list").drop("list")
 

@@ -200,6 +200,23 @@ def test_neighbours_in_many_lists(spark):
     assert len(got) == 2000 and hits / 2000 >= 0.9
 
 
+def test_neighbours_of_repeated_rows(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(600, 16)).astype("f4")
+    y = r.normal(size=(600, 16)).astype("f4")  # another vector of the same vec_id
+    once = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, v.tolist()) for i, v in enumerate(y) if i % 3 == 0]
+    df = spark.createDataFrame(once * 12, "vec_id long, embedding array<float>").repartition(4)
+    queries = spark.createDataFrame([(q, x[q].tolist()) for q in range(1, 600, 30)] * 2, "vec_id long, embedding array<float>")
+    got = ann.search(df, queries, 20).toPandas()
+    for q in range(1, 600, 30):
+        s = (x.astype(float) * x[q]).sum(axis=1)
+        s[::3] = np.maximum(s, (y.astype(float) * x[q]).sum(axis=1))[::3]
+        s[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == np.lexsort((np.arange(600), -s))[:20].tolist()
+        np.testing.assert_allclose(own.score, s[own.vec_id], rtol=1e-12)
+
+
 def test_quality(spark, odd, none):
     big = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
