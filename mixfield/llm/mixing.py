@@ -14,7 +14,8 @@ Targets: share of each source in the output; sources not named share ``rest`` in
 proportion to n^tempering.  With no targets all sources do: n^0.5 by default.
 
 Cases: null source is a source of its own.  Null doc_id or text hash as "-".  Repeated
-rows draw the same number.  Rates above MAX_RATE raise, as exp(-rate) would underflow.
+rows draw the same number.  A rate above MAX_RATE, where exp(-rate) would lose digits, is
+drawn as a sum of independent draws of equal rates below it, each from a hash of its own.
 An empty table gives no rows.  Only the added columns copy and mix_key are reserved; a
 document column of that name is replaced.
 """
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_SOURCES = 50_000
 SALTS = 64
-MAX_RATE = 500.0
+#: Greatest rate of one draw: exp(-rate) is a normal double up to 708.
+MAX_RATE = 700.0
 SEED = "mix-1"
 
 
@@ -70,15 +72,22 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, tempering: flo
     columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
     docs = docs.select(columns)
     table = rates(docs.select("source"), targets, tempering)
-    table = table.select(F.col("source").alias("__source"), F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a source's rate is too high: raise its rows or lower its share"))).otherwise(_cumulative(F.col("rate"))).alias("__below"))
+    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    table = table.withColumn("__parts", parts).select(F.col("source").alias("__source"), "__parts", _cumulative(F.col("rate") / F.col("__parts")).alias("__below"))
     same = F.col("source").eqNullSafe(F.col("__source"))
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         met = docs.join(F.broadcast(table), same)
     else:
         salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = docs.withColumn("__pick", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__pick") == F.col("__salt")))
-    u = unit(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("-"))))
-    copies = F.size(F.filter("__below", lambda c: c <= F.col("__u")))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("-")))
+    u = unit(seed, F.col("doc_id"), text)
+
+    def drawn(at: Column) -> Column:
+        return F.size(F.filter("__below", lambda c: c <= at))
+
+    more = F.transform(F.sequence(F.lit(2), F.col("__parts")), lambda k: unit(seed, F.col("doc_id"), text, k))
+    copies = F.when(F.col("__parts") == 1, drawn(F.col("__u"))).otherwise(F.aggregate(more, drawn(F.col("__u")), lambda n, v: n + drawn(v)))
     out = met.withColumn("__u", u).withColumn("__n", copies).where("__n > 0")
     out = out.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col("text"), F.lit("-"))), F.col("copy").cast("string"))))

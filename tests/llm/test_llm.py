@@ -295,6 +295,21 @@ def test_mixing(spark, odd, none):
         mixing.mix(df, {"big": 1.5})
 
 
+def test_mixing_high_rates(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "en", "rare" if i < 3 else None if i == 3 else "big", 1) for i in range(8000)], "doc_id long, text string, lang string, source string, n_chars long")
+    n = {r.doc_id: r["count"] for r in mixing.mix(df, {"rare": 0.6, "big": 0.1}).groupBy("doc_id").count().collect()}
+    # rates 1600 and 2400, drawn in parts: within 5 deviations, and not all alike
+    assert all(abs(n[i] - 1600) < 200 for i in range(3)) and abs(n[3] - 2400) < 245 and len({n[i] for i in range(3)}) > 1
+
+    def drawn(u):
+        return F.size(F.filter(mixing._cumulative(F.lit(1600.0) / 3), lambda c: c <= u))
+
+    parts = [mixing.unit(mixing.SEED, F.lit(0), F.md5(F.lit("t0")), *k) for k in ((), (F.lit(2),), (F.lit(3),))]
+    assert n[0] == spark.range(1).select(sum(map(drawn, parts)).alias("n")).first().n
+    low = mixing.rates(df, {"rare": 0.2, "big": 0.78}).where("source = 'rare'").first().rate
+    assert 500 < low < mixing.MAX_RATE and mixing.mix(df, {"rare": 0.2, "big": 0.78}).where("source = 'rare'").count() > 1300
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_packing_round_trip(spark, odd, docs, none, name):
     from tokenizers import Tokenizer
