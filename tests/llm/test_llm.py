@@ -371,6 +371,38 @@ def test_passages(spark, odd, none):
     assert {r.doc_id for r in passages.cut(df).collect()} <= set(range(60))
 
 
+@pytest.mark.parametrize("n", [50, 52, 55])
+def test_families_of_edited_passages(spark, n, monkeypatch):
+    # each copy has one own changed word (or one left out, or one more), and the base comes last
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    r, rows, partner = random.Random(n), [], set()
+    for f in range(10):
+        own = []
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+        for i in range(12):
+            t = list(base)
+            at = r.randint(0, n - 1)
+            if i % 4 == 1:
+                t.insert(at, f"new{f}x{i}")
+            elif i % 4 == 2 and n > 50:
+                del t[at]
+            else:
+                t[at] = f"own{f}x{i}"
+            own.append((f * 100 + i, t))
+        own.append((f * 100 + 99, base))
+        rows += [(d, " ".join(t)) for d, t in own]
+        grams = {d: [tuple(t[k : k + 5]) for k in range(len(t) - 4)] for d, t in own}
+        for d, g in grams.items():
+            for e, h in grams.items():
+                for k in range(max(0, min(len(g), len(h)) - 45)):
+                    a, b = set(g[k : k + 46]), set(h[k : k + 46])
+                    if d != e and 100 * len(a & b) >= 80 * len(a | b):
+                        partner.add(d)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {d for x in passages.repeats(df).collect() for d in (x.doc_id, x.other_id)}
+    assert found <= {d for d, _ in rows} and len(partner - found) <= 0.02 * len(partner)
+
+
 def test_windows_ignore_neighbours():
     s, doc = passages.T.stream64(5, 400), np.repeat([0, 1, 2], [120, 46, 234])
     whole = passages.windows(s, doc)
