@@ -2,9 +2,10 @@
 
 A shard is a slice of the documents that a task reads.  Its words become ids of the
 benchmark vocabulary (0: not in it); suffixes that cannot reach a full window of
-benchmark words are left out, the rest are sorted into a suffix array, and every test
-suffix (window start of a benchmark item) is binary-searched in it.  Matches on one
-diagonal are joined into longest verbatim matches with their locations.
+benchmark words are left out, the rest are sorted to their ends into a suffix array by
+doubling, and every test suffix (window start of a benchmark item) is binary-searched in it.
+Hits of neighbouring suffixes of one item are joined into the longest verbatim matches, with
+their locations.
 
 The documents are never shuffled: each task searches its own shards.  The benchmark is
 split into blocks of at most ``block_bytes`` of text; each block's index is one
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _text as T
 
@@ -85,13 +87,35 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
 
 
+def suffix_array(ids: np.ndarray, run: np.ndarray, least: int) -> np.ndarray:
+    """Places p of at least ``least`` words, in the order of the suffixes ids[p : p + run[p]]."""
+    n = len(run)
+    head = np.append(True, run[1:] != run[:-1] - 1)
+    size = run[np.flatnonzero(head)][np.cumsum(head) - 1]  # of the run that a place lies in
+    place = np.flatnonzero((run > 0) & (size >= least))
+    rank = np.zeros(n + 1, np.int64)
+    rank[place] = ids[place]
+    d, longest = 1, int(run.max(initial=0))
+    while len(place):
+        ahead = np.where(run[place] > d, rank[np.minimum(place + d, n)], 0)
+        keys, inverse = np.unique(rank[place] * (rank.max() + 1) + ahead, return_inverse=True)
+        rank[place] = inverse + 1
+        if len(keys) == len(place) or d >= longest:
+            break
+        d *= 2
+    place = place[run[place] >= least]
+    return place[np.argsort(rank[place], kind="stable")]
+
+
 @dataclass
 class Found:
-    """What a shard's documents share with the benchmark."""
+    """What a shard's documents share with the benchmark; longest_at: the first word of the
+    longest match (the first one), -1 without."""
 
     n_words: np.ndarray
     n_hit: np.ndarray
     longest: np.ndarray
+    longest_at: np.ndarray
     items: list[set]
     matches: list[tuple]  # (document, item, first document word, first item word, words)
 
@@ -99,7 +123,7 @@ class Found:
 def search_shard(words: T.Words, blocks: Iterator[Block], want_matches: bool = False) -> Found:
     n, d = len(words.hash), words.n_docs
     cover = np.zeros(n + 1, dtype=np.int32)
-    longest = np.zeros(d, dtype=np.int64)
+    longest, longest_at = np.zeros(d, dtype=np.int64), np.full(d, -1, dtype=np.int64)
     items: dict[int, set] = {}
     matches: list[tuple] = []
     for block in blocks if n else ():
@@ -116,12 +140,10 @@ def search_shard(words: T.Words, blocks: Iterator[Block], want_matches: bool = F
         nxt = zero[np.searchsorted(zero, np.arange(n), "left")]
         run = np.minimum(nxt, ends) - np.arange(n)
         for m, starts in block.starts.items():
-            suffix = np.flatnonzero(run >= m)
-            if not len(suffix):
+            sa = suffix_array(ids, run, m)
+            if not len(sa):
                 continue
-            key = _packed(ids, suffix, m)
-            order = np.argsort(key, kind="stable")  # the shard's suffix array, to depth m
-            sa, key = suffix[order], key[order]
+            key = _packed(ids, sa, m)
             tests = _packed(block.tests, starts, m)
             lo, hi = np.searchsorted(key, tests, "left"), np.searchsorted(key, tests, "right")
             row, rank = _spread(lo, hi)
@@ -139,14 +161,18 @@ def search_shard(words: T.Words, blocks: Iterator[Block], want_matches: bool = F
             new = np.append(True, (np.diff(p) != 1) | (np.diff(p - t) != 0) | (np.diff(doc) != 0))
             head = np.flatnonzero(new)
             length = np.diff(np.append(head, len(p))) + m - 1
-            np.maximum.at(longest, doc[head], length)
+            base = np.searchsorted(words.doc, doc[head])
+            best = np.lexsort((p[head], -length, doc[head]))
+            best = best[np.append(True, np.diff(doc[head][best]) != 0)]
+            own, size, at = doc[head][best], length[best], (p[head] - base)[best]
+            better = (size > longest[own]) | ((size == longest[own]) & (at < longest_at[own]))
+            longest[own[better]], longest_at[own[better]] = size[better], at[better]
             if want_matches:
-                base = np.searchsorted(words.doc, doc[head])
                 tbase = np.searchsorted(block.owner[block.tests > 0], block.owner[t[head]]) + block.owner[t[head]]
                 matches += [(int(a), block.items[int(i)], int(x), int(y), int(z)) for a, i, x, y, z in zip(doc[head], block.owner[t[head]], p[head] - base, t[head] - tbase, length, strict=True)]
     hit = np.cumsum(cover[:n]) > 0
     n_hit = np.bincount(words.doc, weights=hit, minlength=d).astype(np.int64) if n else np.zeros(d, np.int64)
-    return Found(words.counts() if n else np.zeros(d, np.int64), n_hit, longest, [items.get(i, set()) for i in range(d)], matches)
+    return Found(words.counts() if n else np.zeros(d, np.int64), n_hit, longest, longest_at, [items.get(i, set()) for i in range(d)], matches)
 
 
 def _blocks(held: list[Broadcast]) -> Iterator[Block]:
@@ -181,13 +207,14 @@ def _searched(batch: pa.RecordBatch, held: list[Broadcast], want_matches: bool =
         parts.append(found)
     if not parts:
         none = np.zeros(0, np.int64)
-        return Found(none, none, none, [], [])
-    return Found(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("n_words", "n_hit", "longest")), sum((p.items for p in parts), []), sum((p.matches for p in parts), []))
+        return Found(none, none, none, none, [], [])
+    return Found(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("n_words", "n_hit", "longest", "longest_at")), sum((p.items for p in parts), []), sum((p.matches for p in parts), []))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    longest (words of the longest verbatim match)."""
+    longest (words of the longest verbatim match) and longest_at (its first word in the
+    document, counted from 0; the first such match; -1 without one)."""
     held = index(bench, window, block_bytes)
 
     def scan(batches):
@@ -195,27 +222,28 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
             f = _searched(batch, held)
             listed = [sorted(str(x) for x in s if x is not None) for s in f.items]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(f.n_words, pa.int64()), pa.array(f.n_hit, pa.int64()), pa.array(map(len, listed), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()), pa.array(f.n_hit > 0), pa.array(f.longest, pa.int64())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
+                [batch.column("doc_id"), pa.array(f.n_words, pa.int64()), pa.array(f.n_hit, pa.int64()), pa.array(map(len, listed), pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed], pa.string()), pa.array(f.n_hit > 0), pa.array(f.longest, pa.int64()), pa.array(f.longest_at, pa.int64())],
+                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long")
 
 
 def longest_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every maximal verbatim match of at least ``window`` words (or a whole shorter item):
     doc_id, item_id, doc_word, item_word, n_words (places count from 0)."""
     held = index(bench, window, block_bytes)
-    kinds = {"doc_id": docs.schema["doc_id"].dataType, "item_id": bench.schema["item_id"].dataType}
+    kinds = {c: t.schema[c].dataType for t, c in ((docs, "doc_id"), (bench, "item_id"))}
+    item = to_arrow_type(kinds["item_id"])
 
     def scan(batches):
         for batch in batches:
             rows = _searched(batch, held, True).matches
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array([r[1] for r in rows], item), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kinds['doc_id'].simpleString()}, item_id long, doc_word long, item_word long, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kinds['doc_id'].simpleString()}, item_id {kinds['item_id'].simpleString()}, doc_word long, item_word long, n_words long")
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW).drop("longest")
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WINDOW)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,17 +78,23 @@ _OP1 = rf"""
 WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
 b AS (SELECT item_id, [x FOR x IN string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM benchmark),
 bm AS (SELECT item_id, ws, least(10, len(ws)) AS m FROM b WHERE len(ws) > 0),
-bi AS (SELECT item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM bm),
-bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS k FROM bi),
+bn AS (SELECT row_number() OVER () AS b, item_id, ws, m FROM bm),
+bi AS (SELECT b, item_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM bn),
+bp AS (SELECT b, item_id, m, i AS j, array_to_string(ws[i : i + m - 1], ' ') AS k FROM bi),
+bw AS (SELECT DISTINCT item_id, m, k FROM bp),
 ms AS (SELECT DISTINCT m FROM bm),
 di AS (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, ms),
 dw AS (SELECT doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') AS k FROM di),
 hit AS (SELECT DISTINCT dw.doc_id, dw.i, dw.m, bw.item_id FROM dw JOIN bw USING (m, k)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+diag AS (SELECT dw.doc_id, bp.b, dw.m, dw.i, dw.i - bp.j AS d FROM dw JOIN bp USING (m, k)),
+isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, b, m, d ORDER BY i) AS g FROM diag),
+runs AS (SELECT doc_id, count(*) + m - 1 AS n, min(i) - 1 AS p0 FROM isle GROUP BY doc_id, b, m, d, g),
+lg AS (SELECT doc_id, n, p0 FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p0) = 1),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
-  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(it.items, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated, coalesce(lg.n, 0)::BIGINT AS longest, coalesce(lg.p0, -1)::BIGINT AS longest_at
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lg USING (doc_id)
 """
 
 _OP5 = rf"""
