@@ -4,20 +4,25 @@ The vocabulary is a public tokenizer's pieces (fixed; never trained), plus the 2
 bytes.  For each language the pieces get probabilities by expectation-maximisation on the
 words of labelled documents.  A word's probability sums over all its segmentations by a
 forward algorithm; a text's is the product over its words.  The forward pass runs over all
-distinct words of a batch at once: one numpy step per (end, length).
+distinct words of a batch at once: one numpy step per (end, length).  Words longer than
+``MAX_WORD`` bytes are run through one by one, with the same sums.  Both scale as they go,
+so no probability falls to 0.
 
-Training takes at most about ``TRAIN_DOCS`` labelled documents of each language (those
-whose hash falls under that share); word counts are combined in Spark, and each language
-is fitted in a task of its own.  Languages of fewer documents are fitted on all they have.
+Training takes at most about ``TRAIN_DOCS`` labelled documents of each of the ``MAX_LANGS``
+most frequent languages (those whose hash falls under that share; languages of as many
+documents go by name); word counts are combined in Spark, and each language is fitted in a
+task of its own.  Languages of fewer documents are fitted on all they have.  There, and only
+there, words longer than MAX_WORD count in parts of that length.
 
 Cases: null text, or one without a letter, gives ``und`` with score 0.  Ties go to the
 language first in sorted order.  With no labelled document at all every text is ``und``.
-Rows are scored one by one.  Words longer than MAX_WORD bytes are scored in parts of that
-length.
+Rows are scored one by one, over whole words of any length.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -26,10 +31,14 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-#: Labelled documents of a language that training takes, about.
-TRAIN_DOCS = 2000
-#: Bytes of a longest word part and of a longest piece.
-MAX_WORD, MAX_PIECE = 48, 16
+#: Labelled documents of a language that training takes, about, and languages at most.
+TRAIN_DOCS, MAX_LANGS = 2000, 256
+#: Bytes of the longest word of the pass over many words.
+MAX_WORD = 48
+#: Factor per byte that keeps sums of up to MAX_WORD bytes inside the range of a double.
+SCALE = 1e4
+#: Bytes from which few pieces are left, which their first bytes tell.
+STEM = 12
 ROUNDS = 4
 FLOOR = 1e-7
 _MUL = np.uint64(0x100000001B3)
@@ -45,26 +54,45 @@ def pieces_of(model: str) -> list[bytes]:
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
             raw = sp.id_to_piece(i).replace("▁", "").encode().lower()
-            if 0 < len(raw) <= MAX_PIECE and T.LETTERS[np.frombuffer(raw, np.uint8)].all():
+            if raw and T.LETTERS[np.frombuffer(raw, np.uint8)].all():
                 out.add(raw)
     return sorted(out)
 
 
-def _keys(pieces: list[bytes]) -> np.ndarray:
-    """One 64-bit key per piece, by the recurrence that Lattice uses."""
-    out = np.zeros(len(pieces), dtype=np.uint64)
-    for i, p in enumerate(pieces):
-        h = 0
-        for b in p:
-            h = (h * int(_MUL) + b + 1) & 0xFFFFFFFFFFFFFFFF
-        out[i] = h
-    return T.mix64(out)
+def _key(raw: bytes) -> int:
+    h = 0
+    for b in raw:
+        h = (h * int(_MUL) + b + 1) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+@dataclass
+class Pieces:
+    """Keys of the pieces, by the recurrence that Lattice uses; their order; the longest one's
+    bytes; and the (unmixed) keys of the first STEM bytes of longer ones."""
+
+    keys: np.ndarray
+    order: np.ndarray
+    longest: int
+    stems: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: list[bytes]) -> Pieces:
+        keys = T.mix64(np.array([_key(p) for p in pieces], dtype=np.uint64))
+        stems = np.array(sorted({_key(p[:STEM]) for p in pieces if len(p) > STEM}), dtype=np.uint64)
+        return cls(keys, np.argsort(keys), max(map(len, pieces)), stems)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece of each (unmixed) key, or -1."""
+        m = T.mix64(h)
+        at = self.order[np.minimum(np.searchsorted(self.keys, m, sorter=self.order), len(self.keys) - 1)]
+        return np.where(self.keys[at] == m, at, -1)
 
 
 class Lattice:
-    """Pieces that end at each byte of each of a set of words."""
+    """Pieces that end at each byte of each of a set of words of at most MAX_WORD bytes."""
 
-    def __init__(self, words: list[bytes], keys: np.ndarray, order: np.ndarray):
+    def __init__(self, words: list[bytes], pieces: Pieces):
         self.n, self.size = len(words), np.fromiter(map(len, words), np.int64, len(words))
         top = int(self.size.max())
         self.top = top
@@ -73,33 +101,35 @@ class Lattice:
         row = np.repeat(np.arange(self.n), self.size)
         chars[row, np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)] = flat
         self.edges: list[tuple[int, int, np.ndarray, np.ndarray]] = []  # start, end, words, piece
-        sorted_keys = keys[order]
         for s in range(top):
             live = np.flatnonzero(self.size > s)
             h = np.zeros(len(live), dtype=np.uint64)
-            for e in range(s + 1, min(top, s + MAX_PIECE) + 1):
+            for e in range(s + 1, min(top, s + pieces.longest) + 1):
                 ok = self.size[live] >= e
                 live, h = live[ok], h[ok]
                 if not len(live):
                     break
                 h = h * _MUL + chars[live, e - 1] + np.uint64(1)
-                m = T.mix64(h)
-                at = np.minimum(np.searchsorted(sorted_keys, m), len(keys) - 1)
-                hit = sorted_keys[at] == m
+                found = pieces.find(h)
+                hit = found >= 0
                 if hit.any():
-                    self.edges.append((s, e, live[hit], order[at[hit]]))
+                    self.edges.append((s, e, live[hit], found[hit]))
+                if e - s == STEM:
+                    ok = np.isin(h, pieces.stems)
+                    live, h = live[ok], h[ok]
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
-        """alpha[word, end, language] for piece probabilities (piece, language)."""
+        """alpha[word, end, language] for piece probabilities (piece, language), each byte
+        times SCALE."""
         alpha = np.zeros((self.n, self.top + 1, prob.shape[1]))
         alpha[:, 0] = 1
         for s, e, w, p in self.edges:  # by start: alpha of a start is complete
-            alpha[w, e] += alpha[w, s] * prob[p]
+            alpha[w, e] += alpha[w, s] * (prob[p] * SCALE ** (e - s))
         return alpha
 
-    def total(self, prob: np.ndarray) -> np.ndarray:
-        """Probability of each word under each language."""
-        return self.forward(prob)[np.arange(self.n), self.size]
+    def log_total(self, prob: np.ndarray) -> np.ndarray:
+        """ln of the probability of each word under each language."""
+        return np.log(self.forward(prob)[np.arange(self.n), self.size]) - (self.size * np.log(SCALE))[:, None]
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, for one language."""
@@ -107,22 +137,54 @@ class Lattice:
         beta = np.zeros_like(alpha)
         beta[np.arange(self.n), self.size] = 1
         z = alpha[np.arange(self.n), self.size]
-        scale = weight / np.maximum(z, 1e-300)
+        scale = weight / z
         out = np.zeros(len(prob))
         for s, e, w, p in reversed(self.edges):  # by start from the last: beta of an end is complete
-            part = prob[p] * beta[w, e]
+            part = prob[p] * SCALE ** (e - s) * beta[w, e]
             beta[w, s] += part
             out += np.bincount(p, weights=alpha[w, s] * part * scale[w], minlength=len(prob))
         return out
 
 
+def long_word(word: bytes, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
+    """ln of a word's probability under each language, for a word of any length."""
+    chars = np.frombuffer(word, np.uint8).astype(np.uint64)
+    n = len(chars)
+    h, found = np.zeros(n, np.uint64), np.full((pieces.longest, n), -1, np.int64)  # by length and end
+    live = np.arange(n)
+    for size in range(1, min(pieces.longest, n) + 1):
+        live = live[live + size <= n]
+        h[live] = h[live] * _MUL + chars[live + size - 1] + np.uint64(1)
+        found[size - 1, live + size - 1] = pieces.find(h[live])
+        if size == STEM:
+            live = live[np.isin(h[live], pieces.stems)]
+        if not len(live):
+            break
+    end, size = np.nonzero(found.T >= 0)
+    piece = found[size, end]
+    heads = np.searchsorted(end, np.arange(n + 1)).tolist()
+    # sums of the last ends, relative to 2 ** shift
+    width = pieces.longest + 1
+    held, shift = np.zeros((width, prob.shape[1])), np.zeros(prob.shape[1])
+    held[0] = 1
+    for e in range(n):
+        i, j = heads[e], heads[e + 1]
+        now = (held[(e - size[i:j]) % width] * prob[piece[i:j]]).sum(axis=0)
+        held[(e + 1) % width] = now
+        if e % 16 == 15:
+            top = held.max(axis=0)
+            held /= top
+            shift += np.log(top)
+    return np.log(held[n % width]) + shift
+
+
 def _cut(word: bytes) -> list[bytes]:
     return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
 
 
-def fit_language(words: list[bytes], counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def fit_language(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Piece probabilities by EM from word counts; every piece keeps at least FLOOR."""
-    order = np.argsort(keys)
+    keys = pieces.keys
     prob = np.full(len(keys), 1.0 / len(keys))
     parts = [p for w in words for p in _cut(w)]
     weight = np.repeat(counts, [len(_cut(w)) for w in words]).astype(float)
@@ -131,7 +193,7 @@ def fit_language(words: list[bytes], counts: np.ndarray, keys: np.ndarray) -> np
         expected = np.zeros(len(keys))
         for i in range(0, len(by), 20_000):
             at = by[i : i + 20_000]
-            expected += Lattice([parts[k] for k in at], keys, order).expected(prob, weight[at])
+            expected += Lattice([parts[k] for k in at], pieces).expected(prob, weight[at])
         prob = expected / max(expected.sum(), 1e-300)
         prob = np.maximum(prob, FLOOR)
         prob /= prob.sum()
@@ -150,20 +212,18 @@ def _count_words(column: pa.Array) -> dict[bytes, int]:
     return out
 
 
-def train(docs: DataFrame, model: str, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(languages, log priors, piece keys, probabilities (piece, language)) from the rows
-    of ``docs`` with a lang.  The driver gets languages x pieces numbers."""
-    pieces = pieces_of(model)
-    keys = _keys(pieces)
+def train(docs: DataFrame, model: str, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray, Pieces, np.ndarray]:
+    """(languages, log priors, pieces, probabilities (piece, language)) from the rows of
+    ``docs`` with a lang.  The driver gets max_langs x pieces numbers at most."""
+    pieces = Pieces.of(pieces_of(model))
+    n = len(pieces.keys)
     own = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    have = {r[0]: r[1] for r in own.groupBy("lang").agg(F.count("*")).collect()}
+    have = {r[0]: r[1] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(have)
     if not langs:
-        return [], np.zeros(0), keys, np.zeros((len(keys), 0))
-    share = F.lit(0.0)
-    for lang, n in have.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(share)
-    chosen = own.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) < share * (1 << 30))
+        return [], np.zeros(0), pieces, np.zeros((n, 0))
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / have[x])) for x in langs], "lang string, share double")  # max_langs rows
+    chosen = own.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -176,21 +236,21 @@ def train(docs: DataFrame, model: str, train_docs: int = TRAIN_DOCS) -> tuple[li
     def fit(key, t):
         order = pa.compute.sort_indices(t, [("word", "ascending")])
         t = t.take(order)
-        prob = fit_language(t["word"].to_pylist(), t["n"].to_numpy(), keys)
+        prob = fit_language(t["word"].to_pylist(), t["n"].to_numpy(), pieces)
         return pa.table({"lang": pa.array([key[0].as_py()]), "prob": pa.array([prob.tolist()], pa.list_(pa.float64()))})
 
     fitted = {r.lang: r.prob for r in words.groupBy("lang").applyInArrow(fit, "lang string, prob array<double>").collect()}
-    uniform = np.full(len(keys), 1 / len(keys))
+    uniform = np.full(n, 1 / n)
     prob = np.stack([np.array(fitted[x]) if x in fitted else uniform for x in langs], axis=1)
     prior = np.log(np.array([have[x] for x in langs]) / sum(have.values()))
-    return langs, prior, keys, prob
+    return langs, prior, pieces, prob
 
 
 class Scorer:
     """ln P of words by language, remembered while the worker lives."""
 
-    def __init__(self, keys: np.ndarray, prob: np.ndarray):
-        self.keys, self.prob, self.order = keys, prob, np.argsort(keys)
+    def __init__(self, pieces: Pieces, prob: np.ndarray):
+        self.pieces, self.prob = pieces, prob
         self.cache: dict[bytes, int] = {}
         self.rows = np.zeros((0, prob.shape[1]))
 
@@ -199,29 +259,30 @@ class Scorer:
         if len(self.cache) + len(new) > _CACHE:
             self.cache, self.rows, new = {}, self.rows[:0], list(words)
         if new:
-            parts = [_cut(w) for w in new]
-            flat = [p for x in parts for p in x]
-            logs = np.zeros((len(flat), self.prob.shape[1]))
-            by = np.argsort([len(p) for p in flat], kind="stable")
+            logs = np.zeros((len(new), self.prob.shape[1]))
+            size = np.array([len(w) for w in new])
+            by = np.argsort(size, kind="stable")
+            by = by[size[by] <= MAX_WORD]
             for i in range(0, len(by), 8000):
                 at = by[i : i + 8000]
-                logs[at] = np.log(np.maximum(Lattice([flat[k] for k in at], self.keys, self.order).total(self.prob), 1e-300))
-            heads = np.cumsum([0, *(len(x) for x in parts[:-1])])
+                logs[at] = Lattice([new[k] for k in at], self.pieces).log_total(self.prob)
+            for k in np.flatnonzero(size > MAX_WORD):
+                logs[k] = long_word(new[k], self.pieces, self.prob)
             base = len(self.cache)
             self.cache.update({w: base + i for i, w in enumerate(new)})
-            self.rows = np.concatenate([self.rows, np.add.reduceat(logs, heads, axis=0)])
+            self.rows = np.concatenate([self.rows, logs])
         return self.rows[[self.cache[w] for w in words]]
 
 
 def predict(docs: DataFrame, trained: tuple) -> DataFrame:
     """doc_id, lang_pred, score (posterior probability of lang_pred), row for row."""
-    langs, prior, keys, prob = trained
-    held = docs.sparkSession.sparkContext.broadcast((prior, keys, prob))  # pieces x languages: fixed size
+    langs, prior, pieces, prob = trained
+    held = docs.sparkSession.sparkContext.broadcast((prior, pieces, prob))  # pieces x languages: fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        prior, keys, prob = held.value
-        scorer = Scorer(keys, prob)
+        prior, pieces, prob = held.value
+        scorer = Scorer(pieces, prob)
         for batch in batches:
             data, bounds = T.buffers(batch.column("text"))
             texts = batch.column("text")
