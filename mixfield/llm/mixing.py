@@ -17,7 +17,8 @@ Cases: null source is a source of its own.  Null doc_id or text hash as "-".  Re
 rows draw the same number.  A rate above MAX_RATE, where exp(-rate) would lose digits, is
 drawn as a sum of independent draws of equal rates below it, each from a hash of its own.
 An empty table gives no rows.  Only the added columns copy and mix_key are reserved; a
-document column of that name is replaced.
+document column of that name is replaced.  Columns made on the way take names that no
+column of ``docs`` has.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import stash
+
 BROADCAST_SOURCES = 50_000
 SALTS = 64
 #: Greatest rate of one draw: exp(-rate) is a normal double up to 708.
@@ -38,9 +41,8 @@ def unit(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None = None, tempering: float = 0.5) -> DataFrame:
-    """source, n, rate: one row per source."""
-    n = docs.groupBy("source").agg(F.count("*").alias("n"))
+def _tempered(counts: DataFrame, targets: dict[str, float] | None, tempering: float) -> tuple[DataFrame, int]:
+    """(source, n, rate) of a written table (source, n), and the number of sources."""
     named = targets or {}
     if any(w < 0 for w in named.values()) or sum(named.values()) > 1:
         raise ValueError("target shares are not negative and add to at most 1")
@@ -48,11 +50,16 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, tempering: f
     for name, w in named.items():
         share = F.when(F.col("source") == name, F.lit(float(w))).otherwise(share)
     weight = F.when(F.col("share").isNull(), F.pow(F.col("n").cast("double"), F.lit(tempering)))
-    n = n.withColumn("share", share).withColumn("weight", weight)
-    # one total over the sources; rounded, so that the order of summing does not show
-    total = n.agg(F.sum("n").alias("total"), F.round(F.sum("weight"), 6).alias("weights"), F.round(F.lit(1.0) - F.coalesce(F.sum("share"), F.lit(0.0)), 9).alias("rest"))
-    each = F.coalesce(F.col("share"), F.col("rest") * F.col("weight") / F.col("weights"))
-    return n.crossJoin(F.broadcast(total)).select("source", "n", (each * F.col("total") / F.col("n")).alias("rate"))
+    n = counts.withColumn("share", share).withColumn("weight", weight)
+    # one row over the sources; rounded, so that the order of summing does not show
+    total = n.agg(F.sum("n").alias("total"), F.round(F.sum("weight"), 6).alias("weights"), F.round(F.lit(1.0) - F.coalesce(F.sum("share"), F.lit(0.0)), 9).alias("rest"), F.count("*").alias("sources")).first()
+    each = F.coalesce(F.col("share"), F.lit(total.rest) * F.col("weight") / F.lit(total.weights))
+    return n.select("source", "n", (each * F.lit(float(total.total or 0)) / F.col("n")).alias("rate")), total.sources
+
+
+def rates(docs: DataFrame, targets: dict[str, float] | None = None, tempering: float = 0.5) -> DataFrame:
+    """source, n, rate: one row per source."""
+    return _tempered(stash(docs.groupBy("source").agg(F.count("*").alias("n")), "sources"), targets, tempering)[0]
 
 
 def _cumulative(rate: Column) -> Column:
@@ -69,31 +76,43 @@ def _cumulative(rate: Column) -> Column:
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, tempering: float = 0.5, seed: str = SEED, shuffle: bool = True) -> DataFrame:
     """``docs`` replicated: its columns, copy (from 1) and mix_key, in the order of mix_key."""
-    columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    docs = docs.select(columns)
-    table = rates(docs.select("source"), targets, tempering)
-    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
-    table = table.withColumn("__parts", parts).select(F.col("source").alias("__source"), "__parts", _cumulative(F.col("rate") / F.col("__parts")).alias("__below"))
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    columns = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in columns))
+    used = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in used:
+            name += "_"
+        return name
+
+    text, u, name, parts, below, salt, pick, draws, place = map(free, ("mix_text", "mix_u", "mix_source", "mix_parts", "mix_below", "mix_salt", "mix_pick", "mix_draws", "mix_place"))
+    counts = stash(docs.groupBy("source").agg(F.count("*").alias("n")), "sources")
+    table, sources = _tempered(counts, targets, tempering)
+    table = table.withColumn(parts, F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")).select(F.col("source").alias(name), parts, _cumulative(F.col("rate") / F.col(parts)).alias(below))
+    # hashed before the join, so that nothing later computes them once per entry of a table
+    docs = docs.withColumn(text, F.md5(F.coalesce(F.col("text"), F.lit("-")))).withColumn(u, unit(seed, F.col("doc_id"), F.col(text)))
+    same = F.col("source").eqNullSafe(F.col(name))
+    if sources <= BROADCAST_SOURCES:
         met = docs.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = docs.withColumn("__pick", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__pick") == F.col("__salt")))
-    text = F.md5(F.coalesce(F.col("text"), F.lit("-")))
-    u = unit(seed, F.col("doc_id"), text)
+        salted = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = docs.withColumn(pick, F.pmod(F.xxhash64("doc_id", text), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(pick) == F.col(salt)))
 
     def drawn(at: Column) -> Column:
-        return F.size(F.filter("__below", lambda c: c <= at))
-
-    more = F.transform(F.sequence(F.lit(2), F.col("__parts")), lambda k: unit(seed, F.col("doc_id"), text, k))
-    copies = F.when(F.col("__parts") == 1, drawn(F.col("__u"))).otherwise(F.aggregate(more, drawn(F.col("__u")), lambda n, v: n + drawn(v)))
-    out = met.withColumn("__u", u).withColumn("__n", copies).where("__n > 0")
-    out = out.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col("text"), F.lit("-"))), F.col("copy").cast("string"))))
+        """One entry for each copy: the sums of probabilities that ``at`` reaches."""
+        return F.filter(below, lambda c: c <= at)
+
+    more = F.transform(F.sequence(F.lit(2), F.col(parts)), lambda k: drawn(unit(seed, F.col("doc_id"), F.col(text), k)))
+    copies = F.when(F.col(parts) == 1, drawn(F.col(u))).otherwise(F.concat(drawn(F.col(u)), F.flatten(more)))
+    out = met.select(*(F.col(f"`{c}`") for c in columns), text, F.posexplode(copies).alias(place, draws))
+    out = out.withColumn("copy", F.col(place) + 1)
+    out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col(text), F.col("copy").cast("string")))).drop(text, place, draws)
     if not shuffle:
         return out
-    return out.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    # keys are even, so their ranges are known without a look at them
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead = F.conv(F.substring("mix_key", 1, 7), 16, 10).cast("bigint")
+    return out.repartitionById(n, F.shiftright(lead * F.lit(n), 28).cast("int")).sortWithinPartitions("mix_key")
 
 
 #: DuckDB: the same replication, without the order.
