@@ -186,13 +186,14 @@ class Fit:
         return np.concatenate([M.vech(x) for x in self.d])
 
 
-def fit(s: System, method: str = "pSFS", reml: bool = True, tol: float = 1e-6, max_iterations: int = 10_000, floor: float = 0.0) -> Fit:
-    """Estimate by the named scoring method; a step length is halved where the likelihood fell."""
+def fit(s: System, method: str = "pSFS", reml: bool = True, tol: float = 1e-6, max_iterations: int = 10_000, floor: float = 0.0, polish: int = 0) -> Fit:
+    """Estimate by the named scoring method; a step length is halved where the likelihood fell.
+    ``polish`` whole steps follow convergence, as they settle more digits than the likelihood."""
     b, s2, d = start(s)
     low = [np.eye(q) for q in s.effects]  # Cholesky factors of cSFS
     if method == "cSFS":
         d = [x @ x.T for x in low]
-    st, step, last = state(s, d), 1.0, -math.inf
+    st, step, last, done = state(s, d), 1.0, -math.inf, False
     for it in range(1, max_iterations + 1):
         b = _solve(st.xvx, st.xvy)
         quad = st.yvy - 2 * b @ st.xvy + b @ st.xvx @ b
@@ -232,12 +233,15 @@ def fit(s: System, method: str = "pSFS", reml: bool = True, tol: float = 1e-6, m
         s2 = s2 if s2 > 0 else 1e-10
         st = state(s, d)
         now = log_likelihood(s, st, b, s2, reml)
-        if abs(now - last) < tol:
+        done = done or abs(now - last) < tol
+        if done and not polish:
             return Fit(_solve(st.xvx, st.xvy), s2, d, now, it, True)
-        if now < last:
+        if done:
+            polish, step = polish - 1, 1.0
+        elif now < last:
             step /= 2
         last = now
-    return Fit(_solve(st.xvx, st.xvy), s2, d, last, max_iterations, False)
+    return Fit(_solve(st.xvx, st.xvy), s2, d, last, max_iterations, done)
 
 
 def _cholesky_jacobian(low: np.ndarray) -> np.ndarray:

@@ -22,19 +22,21 @@ def lineitem(spark: SparkSession, sf_dir: str, slopes: bool = False, crossed: bo
     """Rows are observations, (return flag, status) the voxels, suppliers the factor;
     ``crossed`` adds the shipping month as a second factor, ``slopes`` a random slope."""
     own = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-    t = _read(spark, sf_dir, "lineitem").withColumn("obs_id", F.xxhash64(*own))  # order and line are not a key
+    t = _read(spark, sf_dir, "lineitem")
     voxel = (F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus")).cast("int")
-    obs = t.select("obs_id", voxel.alias("voxel_id"), (F.col("l_extendedprice") / 1000).alias("y"))
     z = F.array(F.lit(1.0), F.col("l_quantity") / 50) if slopes else F.array(F.lit(1.0))
-    columns = [F.col("obs_id"), F.array(F.lit(1.0), F.col("l_quantity")).alias("x"), F.col("l_suppkey").cast("int").alias("f_1"), z.alias("z_1")]
+    columns = [F.array(F.lit(1.0), F.col("l_quantity")).alias("x"), F.col("l_suppkey").cast("int").alias("f_1"), z.alias("z_1")]
     if crossed:
         columns += [F.month("l_shipdate").alias("f_2"), F.array(F.lit(1.0)).alias("z_2")]
-    return obs, t.select(*columns)
+    # order and line are not a key, so an observation carries its design instead of joining it;
+    # the hash only tells which observations a voxel has
+    obs = t.select(F.xxhash64(*own).alias("obs_id"), voxel.alias("voxel_id"), (F.col("l_extendedprice") / 1000).alias("y"), *columns)
+    return obs, obs.drop("voxel_id", "y")
 
 
 def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Events by type, with the hour as covariate and the user as factor."""
     t = _read(spark, sf_dir, "events")
-    code = F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(1_000_003)).cast("int")
+    code = (F.ascii("event_type") * 65536 + F.ascii(F.substring("event_type", 2, 1)) * 256 + F.length("event_type")).cast("int")
     obs = t.select(F.col("event_id").alias("obs_id"), code.alias("voxel_id"), F.col("value").alias("y"))
     return obs, t.select(F.col("event_id").alias("obs_id"), F.array(F.lit(1.0), F.hour("ts").cast("double")).alias("x"), F.col("user_id").cast("int").alias("f_1"), F.array(F.lit(1.0)).alias("z_1"))

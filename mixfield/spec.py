@@ -61,6 +61,9 @@ class ModelSpec:
     safe_mode: bool = True
     output_cov: bool = True
     min_log: float = -323.3062153431158
+    floor: float = 0.0  # least eigenvalue of a covariance
+    polish: int = 0  # scoring steps made after convergence
+    blocks: int | None = None  # tasks that voxels are dealt to
 
     def __post_init__(self):
         if self.method not in METHODS:

@@ -48,15 +48,15 @@ def test_voxel_blocks_by_id(spark):
     assert {r.block for r in masking.voxel_blocks(v, 5, 10).collect()} == {1, 2, 3, 4, 5}
 
 
-def test_fit_does_not_depend_on_chunks(spark, monkeypatch):
+def test_fit_does_not_depend_on_blocks(spark):
     spec = ModelSpec(2, [Factor("label")], [Contrast("t", [[0.0, 1.0]])], tol=1e-10)
     from mixfield.sources import views
 
     obs, design = views.embeddings(spark, SF)
     stats = model.statistics(obs.where("voxel_id < 6"), design, spec.but(data_mask_thresh=-0.2), only=F.col("voxel_id") % 2 == 0)
     one = model.fit(stats, spec).orderBy("voxel_id").toPandas()
-    monkeypatch.setattr(model, "CHUNK", 1)
-    many = model.fit(stats, spec).orderBy("voxel_id").toPandas()
+    many = model.fit(stats, spec.but(blocks=7)).orderBy("voxel_id").toPandas()
+    assert model.fit(stats, spec.but(blocks=7)).select(F.spark_partition_id()).distinct().count() > 1
     np.testing.assert_allclose(np.stack(one.beta), np.stack(many.beta))
     assert one.converged.all() and set(one.status) == {"fitted"} and one.is_ring.any() and not one.is_ring.all()
     out = model.results(model.fit(stats, spec)).toPandas()
