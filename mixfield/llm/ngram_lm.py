@@ -8,8 +8,11 @@ score says how well the rest predicts the document; a word found nowhere else co
 one.  N is the corpus length less the document's.  A document's score is the sum of ln S.
 
 Plan.  (1) Word counts by a combined count; words with at least ``total / HOT_SHARE``
-uses are hot: at most HOT_SHARE of them, so their table may be broadcast.  (2) A task
-explodes its documents' word pairs into packed lists (v, w, document, times, own counts),
+uses are hot: at most HOT_SHARE of them, so their table may be broadcast.  Likewise pairs
+with ``total / HOT_PAIRS`` uses: slices name those that reach half that share in them, at most
+2 * HOT_PAIRS pass on their sums, and a second look counts them in full.  Hot pairs are scored
+where they stand, so a pair that is in every document crosses no shuffle.  (2) A task
+explodes its documents' other word pairs into packed lists (v, w, document, times, own counts),
 one per hash partition of v - of the pair, where v is hot, so that no frequent word fills
 a partition.  (3) In a partition the pair counts and the counts of its words are complete:
 seen pairs are scored there, unseen ones ask for count(w): hot words at once, the others
@@ -38,6 +41,8 @@ from ._store import stash
 ALPHA = 0.4
 #: Hot words are those with at least 1 / HOT_SHARE of all words; so there are at most that many.
 HOT_SHARE = 1 << 20
+#: Hot pairs are those with at least 1 / HOT_PAIRS of all words, and some with half of that.
+HOT_PAIRS = 1 << 14
 #: Words that one hash partition takes, about.
 PART_WORDS = 1_500_000
 #: Shares of a partition that are counted one after the other, to save memory.
@@ -96,25 +101,62 @@ def _find(table: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, values[at], 0)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h (hash of a word), n."""
+def _scanned(docs: DataFrame, each) -> DataFrame:
+    """(kind, h, n) of what ``each`` counts in the words of every slice, summed."""
 
     def scan(batches):
         for batch in batches:
             data, bounds = T.buffers(batch.column("text"))
             for i, j in T.slices(bounds):
-                h, n = np.unique(T.words_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T.NONSPACE).hash, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+                words = T.words_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T.NONSPACE)
+                for kind, h, n in each(words):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["kind", "h", "n"])
+
+    return docs.select("text").mapInArrow(scan, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+
+
+def _pairs_of(words: T.Words) -> np.ndarray:
+    """Hashes of the word pairs inside documents."""
+    same = words.doc[1:] == words.doc[:-1]
+    return _pair(words.hash[:-1][same], words.hash[1:][same])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """kind 0: h (hash of a word), n; kind 1: pairs that may be hot, n at least."""
+
+    def each(words):
+        yield 0, *np.unique(words.hash, return_counts=True)
+        pairs, n = np.unique(_pairs_of(words), return_counts=True)
+        some = n * 2 * HOT_PAIRS >= len(words.hash)
+        yield 1, pairs[some], n[some]
 
-    return docs.select("text").mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return _scanned(docs, each)
 
 
-def _chunk(words: T.Words, hot: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """(partition, packed pairs) of the documents of one slice."""
+def hot_pairs(docs: DataFrame, counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of hot pairs: 2 * HOT_PAIRS at most."""
+    named = counts.where((F.col("kind") == 1) & (F.col("n") * 2 * HOT_PAIRS >= total)).select("h").toPandas()
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(named.h.to_numpy().view(np.uint64)))
+
+    def each(words):
+        at = _place(held.value, _pairs_of(words))
+        n = np.bincount(at[at >= 0], minlength=len(held.value))
+        yield 1, held.value[n > 0], n[n > 0]
+
+    found = _scanned(docs, each).where(F.col("n") >= max(2, -(-total // (2 * HOT_PAIRS)))).toPandas()
+    h, n = found.h.to_numpy().view(np.uint64), found.n.to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _chunk(words: T.Words, hot: tuple, pairs: tuple, parts: int, alpha: float) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
+    """(partition, packed pairs) of the documents of one slice, and what hot pairs add to them:
+    documents, sums, words over N."""
+    hot, hot_n = hot
     vocab, w = np.unique(words.hash, return_inverse=True)
     v, n = len(vocab), len(w)
     if not n:
-        return []
+        return [], [np.zeros(0, np.uint8), np.zeros(0), np.zeros(0, np.uint8)]
     _, inv, times = np.unique(words.doc * v + w, return_inverse=True, return_counts=True)
     own = times[inv]  # uses of this word in this document
     nxt = np.append(w[1:], v)
@@ -130,6 +172,16 @@ def _chunk(words: T.Words, hot: np.ndarray, parts: int) -> list[tuple[int, bytes
     firsts = np.flatnonzero(np.append(True, np.diff(words.doc) != 0))
     full = np.append(vocab, _END)
     code = np.append(_place(hot, vocab), -1)  # place among the hot words, or -1
+    here = np.where(b < v, _place(pairs[0], _pair(full[a], full[b])), -1)
+    at = np.flatnonzero(here >= 0)  # both words of a hot pair are hot
+    others, t = pairs[1][here[at]] - times[at], times[at]
+    seen = others > 0
+    known = np.where(seen, others, np.maximum(hot_n[code[b[at]]] - own_b[at], 1))
+    under = np.where(seen, np.log(np.maximum(hot_n[code[a[at]]] - own_a[at], 1)), -math.log(alpha))
+    docs, inv = np.unique(d[at], return_inverse=True)
+    added = [_narrow(docs), np.bincount(inv, weights=t * (np.log(known) - under), minlength=len(docs)), _narrow(np.bincount(inv, weights=t * ~seen, minlength=len(docs)).astype(np.int64))]
+    rest = np.flatnonzero(here < 0)
+    a, b, d, times, own_a, own_b = (x[rest] for x in (a, b, d, times, own_a, own_b))
     part = np.where(code[a] >= 0, _part(_pair(full[a], full[b]), parts), _part(full[a], parts))
     first_part = _part(vocab[w[firsts]], parts)
     out = []
@@ -143,7 +195,7 @@ def _chunk(words: T.Words, hot: np.ndarray, parts: int) -> list[tuple[int, bytes
             da, na = np.unique(a[s], return_counts=True)
             db, ib = np.unique(b[s], return_inverse=True)
             out.append((p, _dump(*_words(da, full, code), _narrow(na), *_words(db, full, code), _narrow(ib), *map(_narrow, (d[s], times[s], own_a[s], own_b[s])), words.hash[f], _narrow(words.doc[f]), _narrow(own[f]))))
-    return out
+    return out, added
 
 
 def _place(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -170,13 +222,15 @@ def _hashes(flags: np.ndarray, places: np.ndarray, others: np.ndarray, hot: np.n
 def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_words, score (sum of ln S), mean (score / n_words), row for row."""
     spark = docs.sparkSession
-    counts = stash(word_counts(docs), "words")
+    counted = stash(word_counts(docs), "words")
+    counts = counted.where("kind = 0")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // HOT_SHARE))
     top = counts.where(F.col("n") >= least).toPandas() if total else None
     hot, hot_n = (top.h.to_numpy().view(np.uint64), top.n.to_numpy()) if total else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     by = np.argsort(hot)
     table = spark.sparkContext.broadcast((hot[by], hot_n[by]))
+    pair_table = spark.sparkContext.broadcast(hot_pairs(docs, counted, total))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_WORDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -188,8 +242,8 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             data, bounds = T.buffers(batch.column("text"))
             for i, j in T.slices(bounds):
                 words = T.words_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T.NONSPACE)
-                rows = _chunk(words, table.value[0], parts)
-                rows.append((chunk % parts, _dump(words.counts())))
+                rows, added = _chunk(words, table.value, pair_table.value, parts, alpha)
+                rows.append((chunk % parts, _dump(words.counts(), *added)))
                 names = batch.column("doc_id").slice(i, j - i)
                 sizes = [0] * (len(rows) - 1) + [j - i]
                 yield pa.RecordBatch.from_arrays(
@@ -200,10 +254,18 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     exploded = docs.select("doc_id", "text").mapInArrow(explode, f"part int, chunk long, body binary, doc_ids array<{kind}>")
 
-    def pairs(key, t):
+    def whole(batches) -> pa.Table | None:
+        """All rows of a partition."""
+        held = [b for b in batches if len(b)]
+        return pa.Table.from_batches(held) if held else None
+
+    def pairs(batches):
         """kind 0: documents of a chunk; 1: sums of a chunk; 2: words asked for; 3: word counts."""
+        t = whole(batches)
+        if t is None:
+            return
         hot, hot_n = table.value
-        out = []
+        out, mine = [], t["part"][0].as_py()
         rows = [(c, *_load(b)) for c, b, x in zip(t["chunk"].to_pylist(), t["body"].to_pylist(), pa.compute.list_value_length(t["doc_ids"]).to_pylist(), strict=True) if not x]
         names = t.filter(pa.compute.greater(pa.compute.list_value_length(t["doc_ids"]), 0))
         for c, b, x in zip(names["chunk"].to_pylist(), names["body"].to_pylist(), names["doc_ids"].to_pylist(), strict=True):
@@ -241,7 +303,7 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
                 sums.append((row[at][seen], d[at][seen], gain, np.zeros(len(gain), np.int32)))
                 ask = at[~seen & ~ends]
                 asks.append([row[ask], d[ask], b[ask], times[ask], own_b[ask], np.ones(len(ask), np.int8)])
-            out.append((3, int(key[0].as_py()), -1, _dump(np.concatenate(known_words) if known_words else np.zeros(0, np.uint64), np.concatenate(known_n) if known_n else np.zeros(0, np.int64)), []))
+            out.append((3, mine, -1, _dump(np.concatenate(known_words) if known_words else np.zeros(0, np.uint64), np.concatenate(known_n) if known_n else np.zeros(0, np.int64)), []))
             del a, b, pair, lot
             r_, d_, w_, t_, o_, l_ = (np.concatenate(x) for x in zip(*asks, strict=True))
             known = _find(hot, hot_n, w_)
@@ -258,7 +320,10 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
                 # all that this partition asks of another one is one row: chunks and their numbers of words lead
                 own, many = np.unique(r_[i:j], return_counts=True)
                 out.append((2, int(q[i]), -1, _dump(chunks[own], _narrow(many), _narrow(d_[i:j]), w_[i:j], *map(_narrow, (t_[i:j], o_[i:j], l_[i:j]))), []))
-        return _table(out)
+        yield from _batches(out)
+
+    def _batches(out: list[tuple]) -> list[pa.RecordBatch]:
+        return _table(out).to_batches()
 
     def _table(out: list[tuple]) -> pa.Table:
         return pa.table({"kind": pa.array([r[0] for r in out], pa.int32()), "part": pa.array([r[1] for r in out], pa.int32()), "chunk": pa.array([r[2] for r in out], pa.int64()), "body": pa.array([r[3] for r in out], pa.binary()), "doc_ids": pa.array([r[4] for r in out], pa.list_(id_type))})
@@ -267,9 +332,13 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"kind int, part int, chunk long, body binary, doc_ids array<{kind}>"
-    scored = stash(exploded.groupBy("part").applyInArrow(pairs, schema), "pairs")
+    # a partition is a part, so that no task gets several by chance
+    scored = stash(exploded.repartitionById(parts, F.col("part")).mapInArrow(pairs, schema), "pairs")
 
-    def answer(key, t):
+    def answer(batches):
+        t = whole(batches)
+        if t is None:
+            return
         kinds, bodies = t["kind"].to_pylist(), t["body"].to_pylist()
         known = [_load(b) for k, b in zip(kinds, bodies, strict=True) if k == 3]
         words, n = (np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -284,15 +353,17 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
             got = _find(words, n, h) - own.astype(np.int64)
             sums = times * (np.log(np.maximum(got, 1)) + low * math.log(alpha))
             out = _per_chunk(1, 0, chunk, d.astype(np.int64), sums, times)
-        return _table(out)
+        yield from _batches(out)
 
-    answered = scored.where("kind IN (2, 3)").groupBy("part").applyInArrow(answer, schema)
+    answered = scored.where("kind IN (2, 3)").repartitionById(parts, F.col("part")).mapInArrow(answer, schema)
 
     def finish(key, t):
         names, n, parts_ = None, None, []
         for k, b, x in zip(t["kind"].to_pylist(), t["body"].to_pylist(), range(len(t)), strict=True):
             if k == 0:
-                names, n = t["doc_ids"].combine_chunks()[x].values, _load(b)[0].astype(np.int64)
+                own, *added = _load(b)
+                names, n = t["doc_ids"].combine_chunks()[x].values, own.astype(np.int64)
+                parts_.append(added)
             else:
                 parts_.append(_load(b))
         sums, lows = np.zeros(len(n)), np.zeros(len(n))
