@@ -1,6 +1,8 @@
-"""python -m mixfield fit SPEC OBSERVATIONS DESIGN OUT | compare FIT1 FIT2 EFFECTS1 EFFECTS2 OUT
+"""python -m mixfield study FILE | fit SPEC OBSERVATIONS DESIGN OUT | compare FIT1 FIT2 EFFECTS1 EFFECTS2 OUT
 
-Tables are Parquet.  SPEC is YAML or JSON; a copy of it is written next to the results.
+``study`` fits images: FILE (YAML or JSON) lists them, see mixfield.sources.study; fits and maps go
+to its outdir.  ``fit`` takes Parquet tables.  SPEC is YAML or JSON; a copy of it is written
+next to the results.
 """
 
 from __future__ import annotations
@@ -15,6 +17,12 @@ from .spec import ModelSpec
 
 def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("mixfield").getOrCreate()
+    if args[:1] == ["study"] and len(args) == 2:
+        from .sources import study
+
+        for path in study.fit(spark, study.read(args[1]))[1]:
+            print(path)
+        return 0
     if args[:1] == ["fit"] and len(args) == 5:
         spec = ModelSpec.load(args[1])
         stats = model.statistics(spark.read.parquet(args[2]), spark.read.parquet(args[3]), spec)
@@ -30,5 +38,9 @@ def main(args: list[str]) -> int:
     return 2
 
 
-if __name__ == "__main__":
+def run() -> None:
     sys.exit(main(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    run()

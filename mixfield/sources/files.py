@@ -13,26 +13,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..spec import ModelSpec
+
 #: NIfTI-1 data type codes (fixed values of the format).
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
 def decode_nifti(raw: bytes) -> tuple[np.ndarray, bytes]:
-    """(values in file order reshaped to the image's shape, header) of a NIfTI-1 file."""
+    """(values in file order reshaped to the image's shape, header) of a NIfTI file, version 1 or 2
+    (a header of the latter is given as none: maps are written as version 1)."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
-    order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
+    sizes = {o: struct.unpack_from(f"{o}i", raw)[0] for o in "<>"} if len(raw) >= 348 else {}
+    for order in (o for o, size in sizes.items() if size == 540):
+        dims, code, start = struct.unpack_from(f"{order}8q", raw, 16), struct.unpack_from(f"{order}h", raw, 12)[0], struct.unpack_from(f"{order}q", raw, 168)[0]
+        return _scaled(raw, order, dims[1 : 1 + dims[0]], code, start, *struct.unpack_from(f"{order}2d", raw, 176)), b""
+    order = next((o for o, size in sizes.items() if size == 348), None)
+    if order is None:
+        raise ValueError("not a NIfTI file: its header is neither 348 nor 540 bytes long")
+    if raw[344:347] == b"ni1":
+        raise ValueError("an image whose header is a file of its own is not read; join them into one .nii")
     dims = struct.unpack_from(f"{order}8h", raw, 40)
     code, start = struct.unpack_from(f"{order}h", raw, 70)[0], int(struct.unpack_from(f"{order}f", raw, 108)[0])
     slope, inter = struct.unpack_from(f"{order}2f", raw, 112)
-    shape = dims[1 : 1 + dims[0]]
+    return _scaled(raw, order, dims[1 : 1 + dims[0]], code, start, slope, inter), raw[:348]
+
+
+def _scaled(raw: bytes, order: str, shape: tuple, code: int, start: int, slope: float, inter: float) -> np.ndarray:
     data = np.frombuffer(raw, f"{order}{NIFTI_TYPES[code]}", int(np.prod(shape)), start).astype(float)
     if slope not in (0.0, 1.0) or (slope and inter):
         data = data * slope + inter
-    return data.reshape(shape, order="F"), raw[:348]
+    return data.reshape(shape, order="F")
 
 
 def encode_nifti(image: np.ndarray, header: bytes | None = None) -> bytes:
@@ -78,12 +92,18 @@ def table(text: str, sep: str = ",") -> np.ndarray:
     return np.array(rows, dtype=float)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full path by which Spark's readers name a file."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def images(spark: SparkSession, paths: list[str], dtype: str = "f4") -> DataFrame:
-    """(obs_id, voxel_id, y) of a list of images; obs_id is the place in the list."""
-    order = spark.createDataFrame([(i, p.split("/")[-1]) for i, p in enumerate(paths)], "obs_id long, name string")
-    if len({p.split("/")[-1] for p in paths}) < len(paths):
-        raise ValueError("image files need names of their own")
-    found = spark.read.format("binaryFile").load(paths).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    """(obs_id, voxel_id, y) of a list of images; obs_id is the place in the list.  Files are told
+    apart by their full paths, so folders of equal names are no trouble; a path that is listed
+    twice is two observations."""
+    order = spark.createDataFrame([(i, _qualified(spark, p)) for i, p in enumerate(paths)], "obs_id long, name string")
+    found = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).withColumn("name", F.col("path"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -116,14 +136,42 @@ def design(spark: SparkSession, x: str, factors: list[tuple[str, str]]) -> DataF
     return spark.createDataFrame(rows, f"obs_id long, x array<double>{kinds}")
 
 
-def write_map(df: DataFrame, column: str, shape: tuple[int, ...], path: str, header: bytes | None = None) -> None:
-    """One statistic as a NIfTI image (voxels stream to the driver; missing ones are 0)."""
-    out = np.zeros(int(np.prod(shape)))
-    for r in df.select("voxel_id", column).toLocalIterator():
-        out[r[0]] = r[1] if r[1] is not None else 0.0
+def _flat(df: DataFrame, column: Column, size: int) -> np.ndarray:
+    """One number per voxel, as long as the image; voxels without are 0."""
+    table = df.select("voxel_id", column.cast("double").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[table["voxel_id"].to_numpy()] = np.nan_to_num(table["v"].to_numpy().astype(float))
+    return out
+
+
+def write_map(df: DataFrame, column: str | Column, shape: tuple[int, ...], path: str, header: bytes | None = None) -> None:
+    """One statistic as a NIfTI image (an image's worth of numbers goes to the driver, in Arrow
+    batches; missing ones are 0)."""
+    out = _flat(df, F.col(column) if isinstance(column, str) else column, int(np.prod(shape)))
     body = encode_nifti(out.reshape(shape), header)
     with open(path, "wb") as f:
-        f.write(gzip.compress(body) if path.endswith(".gz") else body)
+        f.write(gzip.compress(body, mtime=0) if path.endswith(".gz") else body)
+
+
+def write_maps(fits: DataFrame, spec: ModelSpec, shape: tuple[int, ...], folder: str, header: bytes | None = None) -> list[str]:
+    """All maps of a (written) table of fits: n, mask, beta, sigma2, D, llh, iterations, residual mean
+    square, cov(beta), and each contrast's estimate, standard error, statistic, degrees of
+    freedom, -log10 p and R2.  Gives the files written."""
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    maps: dict[str, Column] = {c: F.col(c) for c in ("n", "sigma2", "llh", "nit", "resms")} | {"mask": F.lit(1.0)}
+    maps |= {f"beta_{i}": F.col("beta")[i] for i in range(spec.p)} | {f"vechD_{i}": F.col("vechD")[i] for i in range(spec.n_variance)}
+    if spec.output_cov:
+        maps |= {f"cov_beta_{i}_{j}": F.col("cov_beta")[i * spec.p + j] for i in range(spec.p) for j in range(i, spec.p)}
+    for k, c in enumerate(spec.contrasts):
+        for part in ("est", "se", "stat", "df", "neglog10p") if c.kind == "T" else ("stat", "df", "neglog10p", "r2"):
+            maps[f"{c.name}_{c.kind}_{part}"] = F.col("contrasts")[k][part]
+    out = []
+    for name, column in maps.items():
+        out.append(os.path.join(folder, f"{name}.nii.gz"))
+        write_map(fits, column, shape, out[-1], header)
+    return out
 
 
 def upsert(path: str, values: np.ndarray, at: np.ndarray, size: int, dtype: str = "f4") -> None:

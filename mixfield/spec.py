@@ -33,6 +33,12 @@ class Contrast:
     rows: list[list[float]]
     f: bool | None = None
 
+    @classmethod
+    def of(cls, name: str, vector) -> Contrast:
+        """From a list or text: one vector is a T contrast, a matrix (of one row too) an F contrast."""
+        depth = np.ndim(vector) if not isinstance(vector, str) else 2 if "[" in vector.strip()[1:] else 1
+        return cls(name, parse_contrast(vector), depth == 2)
+
     @property
     def kind(self) -> str:
         return "F" if (self.f if self.f is not None else len(self.rows) > 1) else "T"
@@ -84,7 +90,7 @@ class ModelSpec:
         if isinstance(pct, str):
             pct = float(pct.strip().rstrip("%")) / (100 if "%" in pct else 1)
         known = {k: v for k, v in config.items() if k in cls.__dataclass_fields__}
-        known |= {"factors": [Factor(**f) if isinstance(f, dict) else f for f in config["factors"]], "contrasts": [Contrast(c["name"], parse_contrast(c["vector"]), np.ndim(ast.literal_eval(str(c["vector"]))) == 2 if not isinstance(c["vector"], str) else None) for c in config.get("contrasts", [])], "min_percent": pct}
+        known |= {"factors": [Factor(**f) if isinstance(f, dict) else f for f in config["factors"]], "contrasts": [Contrast.of(c["name"], c["vector"]) for c in config.get("contrasts", [])], "min_percent": pct}
         for k in ("tol", "min_log"):
             if k in known:
                 known[k] = float(known[k])
@@ -92,13 +98,7 @@ class ModelSpec:
 
     @classmethod
     def load(cls, path: str) -> ModelSpec:
-        with open(path) as f:
-            text = f.read()
-        if path.endswith(".json"):
-            return cls.of(json.loads(text))
-        import yaml
-
-        return cls.of(yaml.safe_load(text))
+        return cls.of(read_config(path))
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1)
@@ -116,6 +116,17 @@ class ModelSpec:
         return sum(q * (q + 1) // 2 for q in self.effects)
 
 
+def read_config(path: str) -> dict:
+    """A YAML or JSON file."""
+    with open(path) as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text)
+
+
 def factor_columns(k: int, levels: list[int], effects: list[int]) -> range:
     """Columns of Z that belong to factor k."""
     start = sum(a * b for a, b in zip(levels[:k], effects[:k], strict=True))

@@ -1,6 +1,7 @@
 """Plans against SQL, files, filters, chunks and streams."""
 
 import math
+import struct
 
 import duckdb
 import numpy as np
@@ -154,3 +155,89 @@ def test_entry_lists_everything():
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_study_of_images_from_the_command_line(spark, tmp_path):
+    """Three folders of equally named images, with masks, read, fitted and written back."""
+    import json
+
+    from mixfield import __main__ as cli
+    from mixfield.functions import estimators as E
+    from mixfield.sources import files
+
+    r, shape, subjects, scans = np.random.default_rng(5), (3, 4, 2), 3, 8
+    n, effect = subjects * scans, r.normal(size=(subjects, *shape))
+    x = np.column_stack([np.ones(n), r.normal(size=n)])
+    inside = np.ones(shape)
+    inside[0, 0, 0] = 0
+    y, paths, masks = [], [], []
+    for i in range(n):
+        folder = tmp_path / f"sub{i // scans}" / f"run{i % scans}"
+        folder.mkdir(parents=True)
+        y.append(5 + 2 * x[i, 1] + effect[i // scans] + r.normal(size=shape))
+        (folder / "scan.nii").write_bytes(files.encode_nifti(y[-1]))
+        own = np.ones(shape)
+        own[1, 1, 1] = i % 4 > 0
+        (folder / "mask.nii.gz").write_bytes(__import__("gzip").compress(files.encode_nifti(own)))
+        paths.append(str(folder / "scan.nii"))
+        masks.append(str(folder / "mask.nii.gz"))
+    (tmp_path / "inside.nii").write_bytes(files.encode_nifti(inside))
+    (tmp_path / "y.txt").write_text("\n".join(paths))
+    (tmp_path / "m.txt").write_text("\n".join(masks))
+    np.savetxt(tmp_path / "x.csv", x, delimiter=",")
+    np.savetxt(tmp_path / "f.csv", np.arange(n) // scans, fmt="%d")
+    np.savetxt(tmp_path / "z.csv", np.ones(n))
+    config = {"Y_files": "y.txt", "data_mask_files": "m.txt", "analysis_mask": "inside.nii", "X": "x.csv", "Z": [{"f1": {"name": "subject", "factor": "f.csv", "design": "z.csv"}}], "outdir": "out", "contrasts": [{"c1": {"name": "slope", "vector": "[0, 1]"}}, {"c2": {"name": "all", "vector": [[1, 0], [0, 1]]}}], "Missingness": {"MinPercent": "50%"}, "tol": "1e-10", "MAXMEM": "2**32"}
+    (tmp_path / "study.json").write_text(json.dumps(config))
+    assert cli.main(["study", str(tmp_path / "study.json")]) == 0
+
+    def values(name):
+        return files.decode_nifti((tmp_path / "out" / "maps" / f"{name}.nii.gz").read_bytes())[0]
+
+    count = values("n")
+    assert count.shape == shape and count[0, 0, 0] == 0 and count[1, 1, 1] == 18 and count[2, 2, 1] == n
+    assert (values("all_F_stat")[inside > 0] > 0).all() and values("mask").sum() == inside.sum()
+    level = np.arange(n) // scans
+    for at in ((1, 1, 1), (2, 3, 0)):
+        rows = np.flatnonzero([a[at] and (at != (1, 1, 1) or i % 4 > 0) for i, a in enumerate(y)])
+        v, w, z = np.array([y[i][at] for i in rows]), x[rows], np.eye(subjects)[level[rows]]
+        s = E.System(len(v), w.T @ w, w.T @ v, v @ v, [(z.T @ w)[:, None, :]], [(z.T @ v)[:, None]], (z.T @ z).diagonal()[:, None, None])
+        want = E.fit(s, tol=1e-10)
+        np.testing.assert_allclose([values("beta_0")[at], values("beta_1")[at], values("sigma2")[at], values("vechD_0")[at]], [*want.beta, want.sigma2, want.d[0][0, 0]], rtol=1e-5)
+
+
+def test_image_headers():
+    from mixfield.sources import files
+
+    image = np.arange(24.0).reshape(2, 3, 4)
+    for order in "<>":
+        head = bytearray(540)
+        struct.pack_into(f"{order}i", head, 0, 540)
+        struct.pack_into(f"{order}h", head, 12, 64)
+        struct.pack_into(f"{order}8q", head, 16, 3, 2, 3, 4, 1, 1, 1, 1)
+        struct.pack_into(f"{order}q", head, 168, 544)
+        struct.pack_into(f"{order}2d", head, 176, 2.0, 1.0)
+        got = files.decode_nifti(bytes(head) + b"\0" * 4 + image.astype(f"{order}f8").tobytes(order="F"))[0]
+        assert (got == image * 2 + 1).all()
+    pair = bytearray(files.encode_nifti(image))
+    pair[344:348] = b"ni1\0"
+    for raw in (bytes(pair), b"\0" * 400):
+        with pytest.raises(ValueError):
+            files.decode_nifti(raw)
+
+
+def test_contrast_kinds():
+    assert [Contrast.of("c", v).kind for v in ([0, 1], "[0, 1]", "0 1", [[0, 1]], "[[0, 1]]", [[1, 0], [0, 1]], "[1 0] [0 1]")] == ["T", "T", "T", "F", "F", "F", "F"]
+
+
+def test_ranks_and_blocks(spark):
+    from mixfield.operators import masking
+
+    ids = [0, 3, 70_000, 70_001, 140_000, 65_536, 9]
+    df = spark.createDataFrame([(i,) for i in ids], "voxel_id int")
+    got = {r.voxel_id: (r.rank, r.total) for r in masking.ranked(df, "voxel_id").collect()}
+    assert got == {i: (k, 7) for k, i in enumerate(sorted(ids))}
+    for n in (1, 2, 3, 7, 10):
+        want = [b + 1 for b, part in enumerate(np.array_split(np.arange(7), n)) for _ in part]
+        assert [r.block for r in masking.voxel_blocks(df, n).orderBy("voxel_id").collect()] == want
+    assert masking.block_count(1000, [10], [1], 2, 1e9) == 1 and masking.block_count(1000, [100], [2], 2, 1e5) == 81 and masking.block_count(1000, [100, 20], [1, 1], 2, 1e4, 60) == 60
