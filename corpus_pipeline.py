@@ -1,18 +1,23 @@
 """Corpus pipeline: quality, near-duplicates, benchmark, source mix, token files.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next one's docs.  All but the last return the columns of documents.
-Near-duplicates are documents whose 5-word shingle sets have a similarity of 0.8 or more.
+and read again as the next one's docs; a stage's table is deleted when the next one is
+written.  All but the last return the columns of documents.  Near-duplicates are documents
+whose 5-word shingle sets have a similarity of 0.8 or more.
+
+Cases: null and empty texts are scored like any others; those that pass stay through all
+stages, as they are near-duplicates of nothing and hold no benchmark passage, and become one
+end id.  Rows without a doc_id stay too.  Of rows that repeat a doc_id near-dedup leaves
+one.  A null source is a source of its own.  Ties go to the smaller doc_id.  Columns
+beside those of documents pass through all stages but the last.  Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from mixfield.llm import decontaminate, mixing, neardup, packing, quality_gam
-from mixfield.llm._store import shared_dir
+from mixfield.llm._store import drop, stash
 from mixfield.llm.registry import END_ID, QUALITY, WINDOW, table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -53,9 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
+            docs = stash(docs, f"pipeline-{k}")
+            drop(before)
     return docs
