@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     machine) a temporary folder is chosen and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mixfield-")
         spark.sparkContext.setCheckpointDir(found)

@@ -304,6 +304,12 @@ def test_quality(spark, odd, none):
     assert quality_gam.classify(none, labels).count() == 0 and quality_gam.classify(odd, labels.limit(0)).count() == len(odd_rows())
     kept = quality_gam.keep_good(odd, labels)
     assert kept.columns == odd.columns
+    # repeated labels are averaged, repeated documents learned from once, and the filter is the score's
+    twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 0), (3, None, 0)], labels.schema))
+    again = {r.doc_id: r.score for r in quality_gam.classify(docs.unionByName(docs), twice).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got.itertuples())
+    left = sorted(r.doc_id for r in quality_gam.keep_good(docs, labels).collect())
+    assert left == sorted(r.doc_id for r in quality_gam.classify(docs, labels).collect() if r.predicted)
 
 
 def test_language(spark, odd, none):
@@ -641,3 +647,30 @@ def test_pipeline_stages(spark, docs):
             assert sorted(r.doc_id for r in nxt.collect()) == sorted(d for d, _, _, keep in brute_groups(rows, 5, 80) if keep)
         now = nxt
     assert sizes[0] <= 200 and sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[4] == sizes[3]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    passage = bench.orderBy("item_id").first().text
+    leak = spark.createDataFrame([(900, words(30, 90) + " " + passage + " " + words(30, 91), "en", "s1", 0, 1, "z")], DOCS)
+    for name, table in (("odd", odd.unionByName(leak)), ("none", none)):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        bench.write.parquet(str(folder / "benchmark.parquet"))
+        now = spark.read.parquet(str(folder / "documents.parquet"))
+        ends = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(folder)).collect()}
+        kept = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            now = stage(spark, now, str(folder)).cache()
+            rows = [tuple(r) for r in now.collect()]
+            assert now.columns == table.columns
+            if k == 1:  # one of each near-duplicate group
+                assert Counter(r[0] for r in rows) == Counter(r[0] for r in kept if r[0] is None) + Counter({d for d, _, _, keep in brute_groups(kept, 5, 80) if keep and d is not None})
+            if k == 2:  # none with a passage of the benchmark; the others stay
+                assert 900 not in {r[0] for r in rows} and {r[0] for r in kept} - {900} == {r[0] for r in rows}
+            kept = rows
+        end = np.array([2], "<u4")
+        assert set(ends) == {r[0] for r in kept}
+        assert all(ends[r[0]] == (1, zlib.crc32(end.tobytes())) for r in kept if not r[1] and r[0] is not None)
+    assert not kept
