@@ -12,7 +12,8 @@ hash; features and scores cover every document.
 
 Cases: null text is an empty one and gets the score of its (zero) features.  A null
 doc_id is never held out and has no label.  Several labels of one doc_id are averaged and
-count as 1 from one half up; null labels are none.  With labels of one class only, or
+count as 1 from one half up; null labels are none.  Rows that repeat a labelled doc_id
+are learned from once.  With labels of one class only, or
 none, every document gets that class's share (or 0.5).  Repeated rows are scored one by one.
 """
 
@@ -209,13 +210,17 @@ def feature_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, x array<double>")
 
 
-def train(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam:
-    """The model, from the rows of a feature table that are not held out."""
+def chosen(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, y of labelled documents that are not held out: ``train_rows``, about."""
     own = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).where(~held_out())
-    n = own.count()
-    share = min(1.0, train_rows / max(n, 1))
-    own = own.where(F.pmod(F.xxhash64("doc_id", F.lit("gam")), F.lit(1 << 30)) < share * (1 << 30))
-    rows = table.join(own, "doc_id").select("doc_id", "x", "y").toPandas()
+    share = min(1.0, train_rows / max(own.count(), 1))
+    return own.where(F.pmod(F.xxhash64("doc_id", F.lit("gam")), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def train(table: DataFrame, own: DataFrame) -> Gam:
+    """The model, from the rows of a feature table that ``chosen`` names.  Rows that repeat a
+    doc_id count as one, that of the least features, so what is gathered stays bounded."""
+    rows = table.join(own, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()
     if not len(rows):
         return Gam(0.0)
     rows = rows.sort_values("doc_id")
@@ -225,7 +230,7 @@ def train(table: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, row for row."""
     table = stash(feature_table(docs), "quality")
-    gam = train(table, labels, train_rows)
+    gam = train(table, chosen(labels, train_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
@@ -238,7 +243,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_r
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns kept."""
-    gam = train(feature_table(docs), labels, train_rows)
+    own = stash(chosen(labels, train_rows), "chosen")  # so many rows, about, so a broadcast holds them
+    gam = train(feature_table(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")), own)
 
     def keep(batches):
         for batch in batches:
