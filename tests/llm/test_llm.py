@@ -214,6 +214,36 @@ def test_lm_scores_against_brute_force(spark, odd, none, monkeypatch, hot):
     assert ngram_lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_tables_against_brute_force(spark, odd, none, order):
+    rows = odd_rows()
+    toks = [split(r[1], r"[^\x20\x09-\x0D]+") for r in rows]
+
+    def grams(t):
+        return Counter(tuple(t[i : i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+
+    all_, total = Counter(), sum(map(len, toks))
+    for t in toks:
+        all_.update(grams(t))
+
+    def expect(t):
+        own, s = grams(t), 0.0
+        for i in range(len(t)):
+            k, back = min(i + 1, order), 0
+            while k > 1 and all_[g := tuple(t[i - k + 1 : i + 1])] - own[g] <= 0:
+                k, back = k - 1, back + 1
+            g, c = tuple(t[i - k + 1 : i + 1]), tuple(t[i - k + 1 : i])
+            under = all_[c] - own[c] if k > 1 else total - len(t)
+            s += back * math.log(0.4) + math.log(max(all_[g] - own[g], 1)) - math.log(max(under, 1))
+        return s
+
+    got = sorted(((r.doc_id, r.n_words, r.score) for r in ngram_lm.score_by_tables(odd, order).collect()), key=str)
+    want = sorted(((r[0], len(t), expect(t) if t else None) for r, t in zip(rows, toks, strict=True)), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9)) for (_, _, a), (_, _, b) in zip(got, want, strict=True))
+    assert ngram_lm.score_by_tables(none, order).count() == 0
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(1500, 16)).astype("f4")
