@@ -61,7 +61,8 @@ class Index:
     centroids: np.ndarray
     group: np.ndarray
     norm2: float
-    graph: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int32))
+    edges: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # neighbours, one after another
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where those of each begin
     entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     gap: float = 0.0
 
@@ -88,11 +89,10 @@ class Index:
         n = len(c2)
         want = min(want, n)
         beam = min(max(want, BEAM), n)
-        at_once = 4
+        at_once = 8
         step = max(1, CELLS // (self.centroids.shape[1] * DEGREE * 2 * at_once))
         for i in range(0, len(x), step):
             y = x[i : i + step]
-            rows = np.arange(len(y))[:, None]
             met = np.zeros((len(y), n), bool)
             met[:, self.entries] = True
             ids = np.full((len(y), beam), -1, np.int64)
@@ -100,8 +100,11 @@ class Index:
             left = np.ones((len(y), beam), bool)  # nothing to visit there
             new_ids = np.repeat(self.entries[None].astype(np.int64), len(y), axis=0)
             while True:
-                d = c2[new_ids] - 2 * np.einsum("rkw,rw->rk", self.centroids[new_ids], y)
-                d[new_ids < 0] = np.inf
+                d = np.full(new_ids.shape, np.inf)
+                r, k = np.nonzero(new_ids >= 0)
+                for top in range(0, len(r), CELLS // 64):
+                    a, b = r[top : top + CELLS // 64], k[top : top + CELLS // 64]
+                    d[a, b] = c2[new_ids[a, b]] - 2 * (self.centroids[new_ids[a, b]] * y[a]).sum(axis=1)
                 ids, far, left = np.concatenate([ids, new_ids], axis=1), np.concatenate([far, d], axis=1), np.concatenate([left, ~np.isfinite(d)], axis=1)
                 by = np.argsort(far, axis=1, kind="stable")[:, :beam]
                 ids, far, left = (np.take_along_axis(z, by, axis=1) for z in (ids, far, left))
@@ -110,15 +113,18 @@ class Index:
                 if not live.any():
                     break
                 np.put_along_axis(left, order, True, axis=1)
-                around = self.graph[np.take_along_axis(ids, order, axis=1)].reshape(len(y), -1).astype(np.int64)
-                fresh = np.repeat(live, self.graph.shape[1], axis=1) & (around >= 0) & ~met[rows, around]
-                around = np.where(fresh, around, -1)
-                around.sort(axis=1)
-                around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
-                r, k = np.nonzero(around >= 0)
-                met[r, around[r, k]] = True
-                most = max(1, int((around >= 0).sum(axis=1).max()))
-                new_ids = np.sort(around, axis=1)[:, -most:]
+                r, k = np.nonzero(live)
+                nodes = np.take_along_axis(ids, order, axis=1)[r, k]
+                many = self.start[nodes + 1] - self.start[nodes]
+                r = np.repeat(r, many)
+                around = self.edges[np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[nodes], many)]
+                fresh = ~met[r, around]
+                pair = np.unique(r[fresh] * np.int64(n) + around[fresh])
+                r, around = pair // n, pair % n
+                met[r, around] = True
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                new_ids = np.full((len(y), max(1, int(place.max(initial=0)) + 1)), -1, np.int64)
+                new_ids[r, place] = around
             yield ids[:, :want], np.maximum(far[:, :want] + (y * y).sum(axis=1)[:, None], 0)
 
 
@@ -169,9 +175,7 @@ def fit(sample: np.ndarray, n_lists: int, norm2: float, rounds: int = 8) -> Inde
     two = np.concatenate([ids, ring[:, None]], axis=1).ravel()
     edges = np.unique(np.concatenate([one * k + two, two * k + one]))
     one, two = edges // k, edges % k
-    place = np.arange(len(one)) - np.searchsorted(one, one)
-    index.graph = np.full((k, int(place.max()) + 1), -1, np.int32)
-    index.graph[one, place] = two
+    index.edges, index.start = two.astype(np.int32), np.searchsorted(one, np.arange(k + 1))
     index.entries = order[np.linspace(0, k - 1, min(ENTRIES, k)).astype(np.int64)].astype(np.int32)
     index.gap = float(np.median(far[:, 1])) if k > 1 else 0.0
     return index
