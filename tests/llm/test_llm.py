@@ -621,6 +621,71 @@ def test_class_keys_of_similar_windows():
     assert n > 1000
 
 
+def test_deal_keys_of_similar_windows():
+    # every window start, every place and kind of change: the few keys that windows are dealt by miss no pair
+    r, k, n = random.Random(13), passages.SPAN - 1, 0
+    for start in range(-k, 1):
+        for place in range(-48, 54):
+            for kind in range(3):
+                words_ = [r.randrange(1 << 40) for _ in range(200)]
+                other, at = list(words_), 100
+                if kind == 0:
+                    other[at + place] = -1
+                elif kind == 1:
+                    other.insert(at + place, -1)
+                else:
+                    del other[at + place]
+                here = at + (kind == 1) - (kind == 2) if place < 0 or kind == 1 and place == 0 else at
+                s, u = (np.array([hash(tuple(seq[i : i + 5])) & 0xFFFFFFFF | 1 for i in range(len(seq) - 4)], np.uint32) for seq in (words_, other))
+                x, y = s[at + start : at + start + passages.SPAN], u[here + start : here + start + passages.SPAN]
+                if s[at] != u[here] or 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+                    continue
+                rows = np.zeros((2, 2 * k + 1), np.uint32)
+                rows[0, k + start : k + start + passages.SPAN], rows[1, k + start : k + start + passages.SPAN] = x, y
+                keys = passages._deal_keys(rows, np.zeros(2, np.uint64))
+                assert set(keys[0][keys[0] > 0]) & set(keys[1]), (start, place, kind)
+                n += 1
+    assert n > 1000
+
+
+def test_probes_of_repeated_shingles():
+    r, n = np.random.default_rng(14), 0
+    for _ in range(600):
+        x = r.integers(1, r.integers(3, 60), 91).astype(np.uint32)
+        y = np.where(r.random(91) < 0.15, r.integers(1, 90, 91), x).astype(np.uint32)
+        sets = [[set(v[i : i + passages.SPAN].tolist()) for i in range(passages.SPAN)] for v in (x, y)]
+        fewest = np.array([min(map(len, s)) for s in sets])
+        once = passages._distinct(np.stack([x, y]))
+        assert all(sorted(o[o > 0]) == sorted(set(v.tolist())) for o, v in zip(once, (x, y), strict=True))
+        if any(100 * len(a & b) >= 80 * len(a | b) for a, b in zip(*sets, strict=True)):
+            looked = set(once[0][passages._probes(np.stack([x, y]), fewest)[0]].tolist())
+            assert looked & set(y.tolist())
+            n += 1
+    assert n > 100
+
+
+def test_phrase_in_unlike_surroundings(spark, monkeypatch):
+    # windows of a common phrase are dealt by few rows each, few of them meet, and similar ones do
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    made, stash = {}, passages.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "stash", counted)
+    phrase, line, passage = words(12, 70), words(9, 71), words(36, 72)
+    rows = [(i, " ".join([words(50, 7000 + i), phrase, words(50, 8000 + i)])) for i in range(150)]
+    rows += [(200 + i, " ".join([words(40, 7200 + i), line, line, phrase, line, words(40, 8200 + i)])) for i in range(12)]
+    rows += [(300 + i, " ".join([words(40, 7300 + i), phrase, passage, "own" + str(i), words(12, 73), words(40, 8300 + i)])) for i in range(2)]
+    rows += [(400 + i, " ".join([words(40, 7400 + i), words(6, 74), line, "own" + str(i), line, phrase, words(24, 75), words(40, 8400 + i)])) for i in range(2)]
+    got = {(r.doc_id, r.other_id) for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(301, 300), (401, 400)}
+    windows, dealt = made["contexts"][0], made["keyed"]
+    assert windows > 200 and dealt[0] <= 6 * windows and made["picked"][0] <= windows / 4, made
+
+
 def test_windows_ignore_neighbours():
     s, doc = passages.T.stream64(5, 400), np.repeat([0, 1, 2], [120, 46, 234])
     whole = passages.windows(s, doc)
