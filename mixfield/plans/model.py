@@ -89,20 +89,21 @@ def system(row, effects: list[int], p: int) -> E.System:
         for r in zy:
             y[levels[-1][r["level"]]] = r["zty"]
         zty.append(y)
-    ztz: list[np.ndarray] | np.ndarray = own[0]
+    ztz: np.ndarray | E.Crossed = own[0]
     if len(effects) > 1:
-        edge = np.concatenate([[0], np.cumsum([len(x) * e for x, e in zip(own, effects, strict=True)])])
-        ztz = np.zeros((edge[-1], edge[-1]))
+        ztz = E.Crossed.empty([len(x) for x in levels], effects)
         for k, (blocks, e) in enumerate(zip(own, effects, strict=True)):
-            for i, b in enumerate(blocks):
-                at = edge[k] + i * e
-                ztz[at : at + e, at : at + e] = b
+            if k == ztz.head:
+                ztz.own = blocks
+            else:
+                b = np.zeros((len(blocks), e, len(blocks), e))
+                b[np.arange(len(blocks)), :, np.arange(len(blocks))] = blocks
+                ztz.put(k, k, b.reshape(len(blocks) * e, -1))
             for m in range(k + 1, len(effects)):
-                f = effects[m]
-                for r in getattr(row, f"zw_{k + 1}_{m + 1}"):
-                    a, c = edge[k] + levels[k][r["level"]] * e, edge[m] + levels[m][r["other"]] * f
-                    b = np.asarray(r["ztz"], float).reshape(e, f)
-                    ztz[a : a + e, c : c + f], ztz[c : c + f, a : a + e] = b, b.T
+                f, met = effects[m], getattr(row, f"zw_{k + 1}_{m + 1}")
+                b = np.zeros((len(levels[k]), e, len(levels[m]), f))
+                b[[levels[k][r["level"]] for r in met], :, [levels[m][r["other"]] for r in met]] = np.array([r["ztz"] for r in met], float).reshape(-1, e, f)
+                ztz.put(k, m, b.reshape(len(levels[k]) * e, -1))
     return E.System(int(row.n), np.asarray(row.xtx, float).reshape(p, p), np.asarray(row.xty, float), float(row.yty), ztx, zty, ztz)
 
 

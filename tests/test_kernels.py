@@ -61,6 +61,39 @@ def test_state_and_likelihood_match_dense(levels, effects):
         np.testing.assert_allclose(g.sum(), change, rtol=1e-3, atol=1e-4)
 
 
+@pytest.mark.parametrize("levels,effects", [((12, 9), (2, 1)), ((5, 14), (1, 2)), ((4, 11, 6), (1, 2, 2))])
+def test_crossed_state_matches_dense(levels, effects):
+    s, x, y, z = make(5, 300, 2, levels, effects)
+    d = [np.eye(q) * 0.5 + 0.2 for q in effects]
+    st, vi = E.state(s, d), np.linalg.inv(np.eye(300) + z @ E.full_d(d, list(levels)) @ z.T)
+    np.testing.assert_allclose(s.ztz, z.T @ z, atol=1e-9)
+    np.testing.assert_allclose(st.r, z.T @ vi @ z, atol=1e-8)
+    np.testing.assert_allclose(np.concatenate([v.reshape(-1, 2) for v in st.zvx]), z.T @ vi @ x, atol=1e-8)
+    np.testing.assert_allclose(np.concatenate([v.ravel() for v in st.zvy]), z.T @ vi @ y, atol=1e-8)
+    r, at = z.T @ vi @ z, np.concatenate([[0], np.cumsum(np.array(levels) * effects)])
+    for k in range(len(levels)):
+        for m in range(len(levels)):
+            b = M.blocks(r[at[k] : at[k + 1], at[m] : at[m + 1]], effects[k], effects[m])
+            want = np.einsum("ijab,ijcd->acbd", b, b).reshape(effects[k] ** 2, effects[m] ** 2)
+            np.testing.assert_allclose(st.rr(s, k, m), want, rtol=1e-8, atol=1e-8)
+            if k == m:
+                np.testing.assert_allclose(st.rk(s, k), np.einsum("iiab->ab", b), rtol=1e-8, atol=1e-8)
+
+
+def test_crossed_cost_is_linear_in_the_larger_factor():
+    """20,000 levels, whose full matrix would take 3.2 GB."""
+    r, n, m, k = np.random.default_rng(6), 60_000, 20_000, 4
+    f, g, x, y = np.arange(n) % m, r.integers(0, k, n), np.ones((n, 1)), r.normal(size=n) + 1
+    y += r.normal(size=m)[f] + r.normal(size=k)[g]
+    ztz = E.Crossed.empty([m, k], [1, 1])
+    ztz.own[:, 0, 0] = np.bincount(f)
+    np.add.at(ztz.side, (f, g), 1.0)
+    ztz.rest[...] = np.diag(np.bincount(g))
+    s = E.System(n, x.T @ x, x.T @ y, float(y @ y), [np.bincount(v).astype(float)[:, None, None] for v in (f, g)], [np.bincount(v, weights=y)[:, None] for v in (f, g)], ztz)
+    fit = E.fit(s)
+    assert fit.converged and abs(fit.sigma2 - 1) < 0.05 and abs(fit.d[0][0, 0] - 1) < 0.05
+
+
 @pytest.mark.parametrize("levels,effects", CASES)
 @pytest.mark.parametrize("reml", [True, False])
 def test_methods_agree(levels, effects, reml):
