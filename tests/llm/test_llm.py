@@ -664,6 +664,25 @@ def test_probes_of_repeated_shingles():
     assert n > 100
 
 
+def test_runs_of_a_word_beside_a_common_phrase(monkeypatch):
+    # windows that hold a common phrase and a run of a word of their own are not compared one by one
+    import pandas as pd
+
+    k, met, meet = passages.SIDE, [], passages._meet
+    monkeypatch.setattr(passages, "_meet", lambda x, y, fewest: met.append(fewest) or meet(x, y, fewest))
+    rows = np.zeros((201, 2 * k + 1), np.uint32)
+    for i in range(len(rows)):
+        rows[i, k - 4 : k + 5] = np.arange(1, 10)
+        rows[i, k + 5 : k + 9] = 1000 + 10 * min(i, 199) + np.arange(4)
+        rows[i, k + 9 :] = 1005 + 10 * min(i, 199)
+    n = len(rows)
+    fewest = [min(len(set(x[o : o + passages.SPAN].tolist())) for o in range(k - 4, k + 1)) for x in rows]
+    df = pd.DataFrame({"class": 7, "doc_id": np.arange(n), "at": 60, "fewest": fewest, "mine": 0, "label": pd.array([None] * n, "Int64"), "context": [x.tobytes() for x in rows]})
+    w = passages._Windows(df, 0, 0)
+    w.loose(np.ones(n, bool))
+    assert {tuple(sorted(x)) for x in w.links} == {(199, 200)} and len(met) < n
+
+
 def test_phrase_in_unlike_surroundings(spark, monkeypatch):
     # windows of a common phrase are dealt by few rows each, few of them meet, and similar ones do
     monkeypatch.setattr(passages, "BLOCK", 8)
