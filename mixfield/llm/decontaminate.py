@@ -250,8 +250,11 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     """``docs`` without the rows that share a window with the benchmark."""
     held = index(bench, window, block_bytes)
 
+    @T.tidy
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_searched(batch, held).n_hit == 0))
+            hit = _searched(batch, held).n_hit
+            for k, part in enumerate(T.parts(batch)):
+                yield part.filter(pa.array(hit[k * T.ROWS : k * T.ROWS + len(part)] == 0))
 
     return docs.mapInArrow(keep, docs.schema)

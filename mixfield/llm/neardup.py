@@ -95,6 +95,7 @@ def features(docs: DataFrame, shingle: int, rows: int) -> DataFrame:
     each signature value), row for row."""
     n_bands = 2 * N_HASHES // rows
 
+    @T.tidy
     def scan(batches):
         for batch in batches:
             data, bounds = T.buffers(batch.column("text"))
@@ -140,6 +141,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
+    @T.tidy
     def check(batches):
         held: OrderedDict = OrderedDict()
 

@@ -233,6 +233,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @T.tidy
     def scan(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
@@ -283,6 +284,7 @@ def read(files: DataFrame) -> DataFrame:
     """What the files hold: doc_id, start, n_tokens, ids_crc32, in no order."""
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
+    @T.tidy
     def scan(batches):
         for batch in batches:
             for k in range(len(batch)):

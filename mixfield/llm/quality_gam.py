@@ -31,6 +31,8 @@ from ._store import stash
 
 #: Labelled rows that fitting takes, about.
 TRAIN_ROWS = 20_000
+#: Bytes of text whose features are computed at once.
+SLICE = 1 << 18
 BINS, PAIR_BINS, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE, L2 = 300, 100, 0.08, 2.0
 
@@ -200,10 +202,11 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of features), row for row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @T.tidy
     def scan(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in T.parts(whole)):
             data, bounds = T.buffers(batch.column("text"))
-            for i, j in T.slices(bounds):
+            for i, j in T.slices(bounds, SLICE):
                 x = features(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * len(NAMES), pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
@@ -233,6 +236,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_r
     gam = train(table, chosen(labels, train_rows))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @T.tidy
     def scan(batches):
         for batch in batches:
             s = gam.score(batch.column("x").flatten().to_numpy().reshape(-1, len(NAMES))) if len(batch) else np.zeros(0)
@@ -246,11 +250,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_
     own = stash(chosen(labels, train_rows), "chosen")  # so many rows, about, so a broadcast holds them
     gam = train(feature_table(docs.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")), own)
 
+    @T.tidy
     def keep(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in T.parts(whole)):
             data, bounds = T.buffers(batch.column("text"))
-            s = [gam.score(features(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])) for i, j in T.slices(bounds)]
-            if s:
-                yield batch.filter(pa.array(np.concatenate(s) >= threshold))
+            s = [gam.score(features(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])) for i, j in T.slices(bounds, SLICE)]
+            yield batch.filter(pa.array(np.concatenate(s) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -749,6 +749,36 @@ def test_query_matches_sql(spark, name):
     pd.testing.assert_frame_equal(a, b)
 
 
+@pytest.mark.parametrize("of", ["quality", "benchmark"])
+def test_filters_hold_few_rows_at_once(monkeypatch, of):
+    # what executors hold must not grow with Arrow's batches
+    import pyarrow as pa
+
+    class Docs:
+        schema = None
+
+        def join(self, *a):
+            return self
+
+        def mapInArrow(self, scan, schema):
+            return scan
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3500)), "text": [None if i % 7 == 0 else "word " * (i % 5) for i in range(3500)]})
+    if of == "quality":
+        for name, f in (("chosen", lambda *a: None), ("stash", lambda *a: Docs()), ("feature_table", lambda *a: None), ("train", lambda *a: quality_gam.Gam(5.0))):
+            monkeypatch.setattr(quality_gam, name, f)
+        monkeypatch.setattr(Docs, "select", lambda self, *a: self, raising=False)
+        monkeypatch.setattr(quality_gam.F, "broadcast", lambda x: x)
+        scan = quality_gam.keep_good(Docs(), None)
+    else:
+        monkeypatch.setattr(decontaminate, "index", lambda *a: None)
+        monkeypatch.setattr(decontaminate, "_searched", lambda b, held: decontaminate.Found(None, np.arange(len(b)) % 2, None, None, [], []))
+        scan = decontaminate.remove_contaminated(Docs(), None)
+    got = list(scan(iter([batch])))
+    assert max(map(len, got)) <= 1000
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == list(range(0, 3500, 1 if of == "quality" else 2))
+
+
 def test_pipeline_stages(spark, docs):
     now, sizes = docs, []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
